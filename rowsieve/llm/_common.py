@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Lookup tables of at most this many rows may be broadcast; larger ones are joined by a salted shuffle.
 BROADCAST_ROWS = 20_000
 #: Copies of each row of a lookup table that is too large to broadcast.
 SALTS = 16
+#: Arrow batches of texts are cut in halves while they are larger than this.
+BATCH_CHARS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,3 +77,33 @@ def lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], row_salt: Colu
 def words_count(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def map_texts(docs: DataFrame, text: Column, keep: Sequence[str], made: str, work: Callable[[list[str | None]], Sequence[list | np.ndarray]]) -> DataFrame:
+    """The columns in keep, untouched, and those of the DDL schema made, which work gives for each batch of texts.
+
+    Arrow batches go through as they are, so null or very large keys stay exact. Rows aren't shuffled; work runs
+    in the Python workers and sees one batch at a time, cut to about BATCH_CHARS."""
+    fields = T.StructType([docs.schema[c] for c in keep])
+    out = T._parse_datatype_string(made)
+    schema = T.StructType([*(T.StructField(f"k{i}", f.dataType) for i, f in enumerate(fields)), *out])
+    n, types = len(fields), [to_arrow_type(f.dataType) for f in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _cut(whole, n):
+                columns = work(batch.column(n).to_pylist())
+                arrays = [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=[f.name for f in schema])
+
+    rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], text.alias("text")).mapInArrow(run, schema)
+    return rows.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+
+
+def _cut(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows < 2 or batch.column(n).nbytes <= BATCH_CHARS:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from _cut(batch.slice(0, half), n)
+        yield from _cut(batch.slice(half), n)

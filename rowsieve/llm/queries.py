@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsieve.llm import mixing
+from rowsieve.llm import byte_bpe, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.query,
+    "op3_byte_bpe": byte_bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
