@@ -20,13 +20,17 @@ SALTS = 16
 #: Arrow batches of texts are cut in halves while they are larger than this.
 BATCH_CHARS = 4_000_000
 
+#: Folders made where spark.checkpoint.dir is unset, by application.
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="rowsieve-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="rowsieve-")
+        _own[app] = folder
     return folder.rstrip("/")
 
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsieve.llm import byte_bpe, mixing
+from rowsieve.llm import byte_bpe, mixing, sst
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.query,
     "op3_byte_bpe": byte_bpe.query,
+    "op7_token_shards": sst.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
