@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from rowsieve.shipping import ship
+
 #: Lookup tables of at most this many rows may be broadcast; larger ones are joined by a salted shuffle.
 BROADCAST_ROWS = 20_000
 #: Copies of each row of a lookup table that is too large to broadcast.
@@ -88,6 +90,7 @@ def map_texts(docs: DataFrame, text: Column, keep: Sequence[str], made: str, wor
 
     Arrow batches go through as they are, so null or very large keys stay exact. Rows aren't shuffled; work runs
     in the Python workers and sees one batch at a time, cut to about BATCH_CHARS."""
+    ship(docs.sparkSession)
     fields = T.StructType([docs.schema[c] for c in keep])
     out = T._parse_datatype_string(made)
     schema = T.StructType([*(T.StructField(f"k{i}", f.dataType) for i, f in enumerate(fields)), *out])

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsieve.llm import byte_bpe, mixing, sst
+from rowsieve.llm import byte_bpe, language_id, mixing, quality, sst
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.query,
     "op3_byte_bpe": byte_bpe.query,
     "op7_token_shards": sst.query,
+    "op8_language_id": language_id.query,
+    "op10_quality_rules": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rowsieve.llm._common import fresh_path, materialize, read_table
+from rowsieve.shipping import ship
 
 MAGIC = b"RSST0001"
 ENTRIES = 64
@@ -236,6 +237,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
         columns = list(zip(*done)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types.values())], names=list(types))
 
+    ship(docs.sparkSession)
     local = folder.removeprefix("file:")
     if local != folder or ":/" not in folder:  # a local or mounted folder; object stores have none to make
         pa.fs.LocalFileSystem().create_dir("/" + local.lstrip("/"))
@@ -266,6 +268,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (keys, starts, counts, sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    ship(manifest.sparkSession)
     shards = with_starts(manifest).select("path", "start")
     # One task a shard or so: paths are dealt by a hash of their random names.
     return shards.repartition("path").mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
