@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsieve.llm import byte_bpe, language_id, mixing, quality, sst
+from rowsieve.llm import byte_bpe, language_id, mixing, quality, simhash, sst
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.query,
     "op3_byte_bpe": byte_bpe.query,
+    "op5_simhash_dedup": simhash.query,
     "op7_token_shards": sst.query,
     "op8_language_id": language_id.query,
     "op10_quality_rules": quality.query,
