@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsieve.llm import byte_bpe, language_id, mixing, quality, simhash, sst
+from rowsieve.llm import byte_bpe, language_id, mixing, quality, secrets, simhash, sst
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.query,
+    "op2_secret_scan": secrets.query,
     "op3_byte_bpe": byte_bpe.query,
     "op5_simhash_dedup": simhash.query,
     "op7_token_shards": sst.query,
