@@ -26,9 +26,12 @@ from __future__ import annotations
 
 import bisect
 import functools
+import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,28 +185,46 @@ class Reader:
 
 
 class WordEncoder:
-    """Encodes with a tokenizer that drops white space, so that words between blanks are encoded on their own and remembered."""
+    """Encodes with a tokenizer that drops white space and case, and remembers the ids of words.
+
+    No match of its pattern spans a blank, so words between blanks are encoded on their own. A word of Latin-1
+    letters with ASCII symbols behind it is two matches, which the normalizer leaves as they are but for the case,
+    so they can go to the tokenizer's BPE model directly."""
+
+    PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[str, bytes] = {}
+        # The model's character for each byte: itself if printable, else one from 256 on, in order.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        self.byte_chars = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(128, 256)}
 
     def encode(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").split(" ")
-        try:
-            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<u4")
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        known = self.words if len(self.words) + len(new) <= CACHED_WORDS else {}
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known |= {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, encoded)}
-        if known is not self.words:  # full: begin anew with this text's words
-            missing = [w for w in dict.fromkeys(words) if w not in known]
-            known |= {w: self.words[w] for w in missing}
-            self.words = known
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<u4")
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            made = self._encode(dict.fromkeys(w for w, x in zip(words, ids) if x is None))
+            ids = [made[w] if x is None else x for w, x in zip(words, ids)]
+        return np.frombuffer(b"".join(ids), dtype="<u4")
+
+    def _encode(self, words: dict[str, None]) -> dict[str, bytes]:
+        parts = {w: (m[1].lower(), m[2]) if (m := self.PARTS.fullmatch(w)) else (w,) for w in words}
+        needed = dict.fromkeys(x for xs in parts.values() for x in xs)
+        new = [x for x in needed if x not in self.words]
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.words, new = {}, list(needed)
+        whole = {xs[0] for xs in parts.values() if len(xs) == 1}
+        encode, merge, known = self.tokenizer.encode, self.tokenizer.model.tokenize, self.words
+        for x in new:
+            ids = encode(x, add_special_tokens=False).ids if x in whole else [t.id for t in merge(x.translate(self.byte_chars))] if x else []
+            known[x] = array("I", ids).tobytes()
+        made = {w: b"".join([known[x] for x in xs]) for w, xs in parts.items()}
+        known.update((w, x) for w, x in made.items() if len(w) <= 6)
+        return made
 
 
 @functools.lru_cache(maxsize=2)

@@ -13,7 +13,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def test_words_encode_as_whole_texts():
     whole, mine, rng = Tokenizer.from_file(PATH), sst.WordEncoder(PATH), random.Random(1)
     whole.encode_special_tokens = True
-    chars = "ab Éé'sS1 \n\t.,!\xa0\x1ć日本İ<|endoftext|>ﬁΣς"
+    chars = "ab Éé'sS1 \n\t.,!<=\u0338e\u0301×÷ßµ\xa0\x1ć日本İ<|endoftext|>ﬁΣς"
     texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     for text in [*texts, "<|endoftext|>", "a <|startoftext|> b", " ", "\n"]:
         assert mine.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
@@ -26,7 +26,7 @@ def test_the_memory_of_words_is_bounded(monkeypatch):
     for i in range(50):
         text = " ".join(f"w{j}" for j in range(i, i + 5))
         assert mine.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
-        assert len(mine.words) <= 15
+        assert len(mine.words) <= 25
 
 
 def test_file_round_trip_and_lookup(tmp_path):
