@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsieve.llm import byte_bpe, language_id, mixing, quality, secrets, simhash, sst, topk
+from rowsieve.llm import byte_bpe, language_id, licenses, mixing, quality, secrets, simhash, sst, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": byte_bpe.query,
     "op4_topk_search": topk.query,
     "op5_simhash_dedup": simhash.query,
+    "op6_license_scan": licenses.query,
     "op7_token_shards": sst.query,
     "op8_language_id": language_id.query,
     "op10_quality_rules": quality.query,
@@ -21,4 +22,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_topk_search": topk.ORACLE,
+    "op6_license_scan": licenses.ORACLE,
 }
