@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowsieve.llm import byte_bpe, language_id, licenses, mixing, quality, secrets, simhash, sst, topk
+from rowsieve.llm import byte_bpe, language_id, licenses, mixing, pii, quality, secrets, simhash, sst, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": licenses.query,
     "op7_token_shards": sst.query,
     "op8_language_id": language_id.query,
+    "op9_pii": pii.query,
     "op10_quality_rules": quality.query,
 }
 
