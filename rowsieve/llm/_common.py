@@ -85,7 +85,7 @@ def words_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def map_texts(docs: DataFrame, text: Column, keep: Sequence[str], made: str, work: Callable[[list[str | None]], Sequence[list | np.ndarray]]) -> DataFrame:
+def map_texts(docs: DataFrame, text: str, keep: Sequence[str], made: str, work: Callable[[list[str | None]], Sequence[list | np.ndarray | pa.Array]]) -> DataFrame:
     """The columns in keep, untouched, and those of the DDL schema made, which work gives for each batch of texts.
 
     Arrow batches go through as they are, so null or very large keys stay exact. Rows aren't shuffled; work runs
@@ -95,15 +95,16 @@ def map_texts(docs: DataFrame, text: Column, keep: Sequence[str], made: str, wor
     out = T._parse_datatype_string(made)
     schema = T.StructType([*(T.StructField(f"k{i}", f.dataType) for i, f in enumerate(fields)), *out])
     n, types = len(fields), [to_arrow_type(f.dataType) for f in out]
+    at = list(keep).index(text) if text in keep else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _cut(whole, n):
-                columns = work(batch.column(n).to_pylist())
-                arrays = [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)]
+            for batch in _cut(whole, at):
+                columns = work(batch.column(at).to_pylist())
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=[f.name for f in schema])
 
-    rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], text.alias("text")).mapInArrow(run, schema)
+    rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], *[docs[text].alias("text")] * (at == n)).mapInArrow(run, schema)
     return rows.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 

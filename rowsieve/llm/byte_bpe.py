@@ -28,6 +28,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -148,10 +149,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
         tokens = [tree.encode(x) if x else [] for x in texts]
         packed = [hashlib.sha256(np.array(x, dtype="<u4").tobytes()).hexdigest() for x in tokens]
         decoded = [hashlib.sha256(tree.decode(x)).hexdigest() for x in tokens]
-        return [[len(x) for x in tokens], packed, decoded, *[tokens] * ids]
+        if not ids:
+            return [[len(x) for x in tokens], packed, decoded]
+        flat = np.fromiter((t for x in tokens for t in x), dtype=np.int32)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens], dtype=np.int64)]).astype(np.int32)
+        return [[len(x) for x in tokens], packed, decoded, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
 
     made = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return map_texts(docs, docs[text], keep, made, work)
+    return map_texts(docs, text, keep, made, work)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,7 +192,15 @@ def train(docs: DataFrame, cfg: LanguageConfig = LanguageConfig(), text: str = "
 def predict(docs: DataFrame, net: ByteNet, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """The columns in keep, lang_pred and score."""
     model = pickle.dumps(net)
-    return map_texts(docs, docs[text], keep, "lang_pred string, score double", lambda texts: _load(model).predict(texts))
+    return map_texts(docs, text, keep, "lang_pred string, score double", lambda texts: _load(model).predict(texts))
+
+
+def keep_identified(docs: DataFrame, net: ByteNet, least: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of docs whose language is determined with a score of least or more."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = predict(docs.withColumnsRenamed(names), net, tuple(names.values()), names[text])
+    rows = rows.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def held_out(key: Column) -> Column:

@@ -150,13 +150,14 @@ def plan_mix(sized: DataFrame, cfg: MixConfig = MixConfig()) -> MixPlan:
     return MixPlan(sources, materialize(blocks.select("source", "block", "passes", "cut", "cut_u", "shards"), "mix-plan"), cfg)
 
 
-def mix(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
-    """The mix itself: each row of docs (doc_id, text, source, ...) as often as it is drawn, with its columns and
-    mix_shard (its output shard) and mix_order (its place in the shard's local shuffle)."""
-    cols = docs.columns
-    rows = plan_mix(measure(docs), cfg).decide(docs.select(F.struct(*cols).alias("__row"), "doc_id", "source"))
-    rows = rows.select("__row", F.posexplode("shards").alias("__copy", "mix_shard"))
-    return rows.select("__row.*", "mix_shard", _hash(cfg, "local", F.col("__row.doc_id"), "__copy", "mix_shard").alias("mix_order"))
+def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), places: bool = True) -> DataFrame:
+    """The mix itself: each row of docs (doc_id, text, source, ...) as often as it is drawn, with its columns and, with
+    places, mix_shard (its output shard) and mix_order (its place in the shard's local shuffle)."""
+    row = F.struct(*docs.columns).alias("__row")
+    rows = plan_mix(measure(docs), cfg).decide(docs.select(row, "doc_id", "source"))
+    rows = rows.select("__row", F.posexplode("shards").alias("__copy", "__shard"))
+    order = _hash(cfg, "local", F.col("__row.doc_id"), "__copy", "__shard")
+    return rows.select("__row.*", *[F.col("__shard").alias("mix_shard"), order.alias("mix_order")] * places)
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:

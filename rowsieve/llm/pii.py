@@ -375,7 +375,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
         return [*counts, digests, [joined(every) for _, every in found], [len(every) - len(base) for base, every in found]]
 
     made = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
-    return map_texts(docs, docs[text], keep, made, work)
+    return map_texts(docs, text, keep, made, work)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

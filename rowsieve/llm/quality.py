@@ -172,7 +172,7 @@ def measure(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataF
     """The columns in keep and the numbers of each text, written to the shared folder."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
     made = ", ".join(f"{c} bigint" for c in names)
-    return materialize(map_texts(docs, docs[text], keep, made, lambda texts: list(zip(*map(measure_text, texts))) or [[]] * 6), "quality")
+    return materialize(map_texts(docs, text, keep, made, lambda texts: list(zip(*map(measure_text, texts))) or [[]] * 6), "quality")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str, cfg: QualityConfig = QualityConfig()) -> DataFrame:

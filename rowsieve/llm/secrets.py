@@ -110,7 +110,7 @@ def ownership(found: DataFrame, owner: str, repo: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, cfg: SecretConfig = SecretConfig(), text: str = "text", key: str = "doc_id", owner: str = "source", repo: str = "doc_id") -> DataFrame:
-    """doc_id and spans: array of (start, rank, end, kind, live, value), base kinds and live further ones."""
+    """doc_id, text_hash and spans: array of (start, rank, end, kind, live, value), base kinds and live further ones."""
     found = docs.select(F.col(key).alias("doc_id"), F.col(owner).alias("__owner"), F.col(repo).alias("__repo"), F.col(text).alias("__t"), F.xxhash64(text).alias("text_hash"))
     found = materialize(candidates(found, ("doc_id", "__owner", "__repo", "text_hash"), "__t"), "secret-candidates")
     hit = found.where((F.size("base") > 0) | (F.size("further") > 0)).withColumn("row", F.monotonically_increasing_id())
@@ -141,6 +141,24 @@ def joined(spans: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","), F.lit(""))
 
 
+def redact(docs: DataFrame, cfg: SecretConfig = SecretConfig(), text: str = "text", key: str = "doc_id", owner: str = "source", mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span of its text replaced by mark. Overlapping spans are one."""
+    rows = scan(docs, cfg, text, key, owner, key).where("spans is not null").dropDuplicates(["doc_id", "text_hash"])
+    rows = materialize(rows.select(F.col("doc_id").alias("__key"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")), "secret-spans")
+    hashed = docs.withColumn("__text_hash", F.xxhash64(docs[text]))
+    joined_rows = hashed.join(rows, hashed[key].eqNullSafe(rows["__key"]) & (hashed["__text_hash"] == rows["__hash"]), "left")
+
+    def step(acc: Column, x: Column) -> Column:
+        piece = F.substr(F.col(text), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
+        new = F.when(x["start"] >= acc["at"], F.concat(acc["out"], piece, F.lit(mark))).otherwise(acc["out"])
+        return F.struct(new.alias("out"), F.greatest(acc["at"], x["end"].cast("int")).alias("at"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    done = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1)))
+    clean = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(done)
+    return joined_rows.withColumn(text, clean).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["rank"] <= len(BASE))

@@ -69,13 +69,13 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, cfg: SimHashConfig = SimHashConfig(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long), written to the shared folder."""
+    """doc_id, text_hash and fp (the fingerprint as a signed long), written to the shared folder."""
 
     def work(texts: list[str | None]) -> list[np.ndarray]:
         return [np.array([fingerprint(x, cfg.shingle) for x in texts], dtype=np.uint64).view(np.int64)]
 
-    rows = map_texts(docs, docs[text], (key,), "fp bigint", work)
-    return materialize(rows.select(rows[key].cast("long").alias("doc_id"), "fp"), "simhash")
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
+    return materialize(map_texts(rows, "text", ("doc_id", "text_hash"), "fp bigint", work), "simhash")
 
 
 class TopTree:
@@ -213,17 +213,30 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, cfg: SimHashConfig = SimHashConfig(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, fp (signed long) and component_id (the smallest key reachable over links, its own included)."""
+    """doc_id, text_hash, fp (signed long), component_id (the smallest key reachable over links, its own included) and
+    component (a fingerprint that names the component, also where its keys are null)."""
     prints = fingerprints(docs, cfg, text, key)
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
     # Keys may repeat over texts, so nodes are named by fingerprint and take the smallest key at the end.
     found = materialize(components(links(nodes.select("fp", F.col("fp").alias("node")), cfg), "simhash-stars"), "simhash-components")
     linked = materialize(nodes.join(found, nodes["fp"] == found["node"]).select("fp", "first_id", "component"), "simhash-linked")
     smallest = materialize(linked.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash-smallest")
-    linked = lookup(linked, smallest, ["component"], F.col("fp")).select(F.col("fp").alias("__fp"), "component_id")
-    classes = nodes.join(linked, nodes["fp"] == linked["__fp"], "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    linked = lookup(linked, smallest, ["component"], F.col("fp")).select(F.col("fp").alias("__fp"), "component", "component_id")
+    classes = nodes.join(linked, nodes["fp"] == linked["__fp"], "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("component", "fp").alias("component"))
     classes = materialize(classes, "simhash-classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
+
+
+def keep_one(docs: DataFrame, cfg: SimHashConfig = SimHashConfig(), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs, one for each component: that with the smallest key, null last, of rows with one key that of the
+    smallest text hash, and one of equal rows."""
+    rows = near_duplicates(docs, cfg, text, key)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    kept = rows.groupBy("component").agg(first.alias("x")).select(F.col("x.doc_id").alias("__key"), F.col("x.text_hash").alias("__hash"))
+    kept = materialize(kept.distinct(), "simhash-kept")
+    hashed = docs.withColumn("__text_hash", F.xxhash64(docs[text]))
+    on = hashed[key].cast("long").eqNullSafe(kept["__key"]) & (hashed["__text_hash"] == kept["__hash"])
+    return hashed.join(kept, on, "left_semi").dropDuplicates([key, "__text_hash"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
