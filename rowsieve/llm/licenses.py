@@ -3,7 +3,8 @@
 Units of a text are its lines, its paragraphs (parted by lines without a letter or digit) and the whole; equal units of a text count
 once. Words are runs of ASCII letters and digits in lower case. A unit is compared with a template only if their
 numbers of words allow it: with a threshold t and b bigrams in the template, a unit reaches t only with between
-t / (2 - t) b and (2 - t) / t b distinct bigrams. Of the templates at or above the threshold the unit takes the
+t / (2 - t) b and (2 - t) / t b distinct bigrams, and must share t / (2 - t) b of the template's, so texts and units
+without any of a few marking words are passed over. Of the templates at or above the threshold the unit takes the
 best one, ties to the smaller identifier.
 
 DataFrame functions only: the templates are constants of the plan, units are made and dropped within a scan of the texts, and
@@ -15,7 +16,9 @@ one doc_id are one document if their texts are equal; an empty table gives an em
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +97,26 @@ def _groups(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, list[str]
     return [(name, template_bigrams(text)) for name, text in templates]
 
 
+#: Words that prose is full of: as marks they would rule nothing out.
+COMMON = frozenset("a all an and any as at be by can for from in is it its may not of on or see that the this to under use with work you".split())
+
+
+def marks(groups: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which every unit that reaches the threshold with some template has one.
+
+    Such a unit shares at least t / (2 - t) b of the template's b bigrams. Words are chosen, those in most bigrams first,
+    until fewer bigrams than that are free of them in every template."""
+    left = {i: set(g) for i, (_, g) in enumerate(groups)}
+    needed = {i: math.ceil(len(g) * threshold / (2 - threshold) - 1e-9) for i, (_, g) in enumerate(groups)}
+    chosen: list[str] = []
+    while open_ := [i for i in left if len(left[i]) >= needed[i]]:
+        counts = Counter(w for i in open_ for g in left[i] for w in set(g.split()))
+        word = min(counts, key=lambda w: (w in COMMON, -counts[w], w))
+        chosen.append(word)
+        left = {i: {g for g in gs if word not in g.split()} for i, gs in left.items()}
+    return sorted(chosen)
+
+
 def units(text: Column) -> Column:
     """Distinct lines, paragraphs and the whole, as words in lower case with single blanks between."""
     plain = F.lower(F.regexp_replace(text, r"[^A-Za-z0-9\n]+", " "))
@@ -107,7 +130,10 @@ def match_units(docs: DataFrame, key: str = "doc_id", text: str = "text", templa
     """A row for each unit that matches: doc_id, text_hash, unit, license_id, score."""
     groups = [(name, grams) for name, grams in _groups(templates) if grams]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(units(F.col(text))).alias("unit"))
+    # No unit of a text without a mark can match, nor can a unit without one.
+    mark = rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(marks(groups, threshold))})(?![A-Za-z0-9])"
+    rows = docs.where(F.col(text).rlike(mark))
+    rows = rows.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(units(F.col(text))).alias("unit")).where(F.col("unit").rlike(mark))
     # Words bound distinct bigrams from above only; repeats can make fewer. So this bound is on the low side alone.
     n_words = F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit(""))) + 1
     rows = rows.where(n_words - 1 >= min(len(g) for _, g in groups) * low)

@@ -37,3 +37,13 @@ def test_against_brute_force(spark):
     assert sorted(str((r.doc_id, r.n_units, r.licenses, r.best_license, r.best_score)) for r in got) == want
     assert sum(r.n_units > 0 for r in got) > 50
     assert licenses.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_marks_rule_out_no_match():
+    groups = licenses._groups(licenses.TEMPLATES)
+    chosen = set(licenses.marks(groups, 0.8))
+    assert len(chosen) < 40
+    for _, grams in groups:
+        free = [g for g in grams if not chosen & set(g.split())]
+        # The best unit without a mark has just these bigrams.
+        assert 2 * len(free) / (len(free) + len(grams)) < 0.8
