@@ -70,12 +70,22 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
-def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of row_ids that share a bucket key. Only ids and keys are shuffled."""
-    keys = rows.select("row_id", F.explode("keys").alias("key"))
-    x, y = keys.alias("x"), keys.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row_id") < F.col("y.row_id")))
-    return pairs.select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct()
+def bucket_pairs(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of row_ids that share a bucket key. Only ids and keys are shuffled.
+
+    With most, each row of a bucket meets that many rows behind it, in an order that puts rows of like signatures next
+    to each other: a bucket of m rows makes most * m pairs instead of m * m / 2. Smaller buckets are whole."""
+    keys = rows.select("row_id", F.slice("signature", 1, 4).alias("order"), F.explode("keys").alias("key"))
+    if most is None:
+        x, y = keys.alias("x"), keys.alias("y")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row_id") < F.col("y.row_id")))
+        return pairs.select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct()
+    bucket = Window.partitionBy("key")
+    placed = keys.select("row_id", "key", F.row_number().over(bucket.orderBy("order", "row_id")).alias("place"), F.count(F.lit(1)).over(bucket).alias("n"))
+    placed = store(placed.where("n > 1"), "buckets")
+    ahead = placed.where("place < n").select("key", F.col("row_id").alias("x"), F.explode(F.sequence(F.col("place") + 1, F.least(F.col("n").cast("int"), F.col("place") + most))).alias("place"))
+    pairs = ahead.join(placed.select("key", "place", F.col("row_id").alias("y")), ["key", "place"])
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def similar_pairs(rows: DataFrame, pairs: DataFrame, cfg: MinHashConfig) -> DataFrame:
@@ -105,7 +115,7 @@ def candidate_pairs(rows: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> Da
     if cfg.calibrate and cfg.lsh == LshParams():
         cfg = cfg.with_lsh(calibrated(rows, n, cfg))
     made = store(features(rows, noisy_grams(rows, n, cfg), cfg), "candidate-features")
-    pairs = store(similar_pairs(made, bucket_pairs(made), cfg), "candidate-pairs")
+    pairs = store(similar_pairs(made, bucket_pairs(made, cfg.max_pairs_per_row), cfg), "candidate-pairs")
     return pairs.join(best_partners(pairs, cfg.max_pairs_per_row), ["first", "second"], "left_semi")
 
 

@@ -91,3 +91,12 @@ def test_limits(spark):
     frequent = spark.createDataFrame([(i, f"common words {i * 7919}") for i in range(400)], "row_id bigint, value string")
     assert len(candidates.noisy_grams(frequent, 400, cfg)) > 5 and len(candidates.noisy_grams(frequent, 199, cfg)) == 0
     assert candidates.calibrated(frequent, 400, cfg).band_size in (4, 5, 6, 8)
+
+
+def test_large_buckets_make_linear_pairs(spark):
+    rows = spark.createDataFrame([(i, [0] * 8, [1, 2 + i % 2, 100 + i]) for i in range(200)], "row_id bigint, signature array<int>, keys array<bigint>")
+    assert candidates.bucket_pairs(rows).count() == 200 * 199 // 2
+    few = {(r.a, r.b) for r in candidates.bucket_pairs(rows, 5).collect()}
+    # In order of row_id here: the five behind in the bucket of all, and in that of every other row.
+    assert few == {(i, i + d) for i in range(200) for d in (1, 2, 3, 4, 5, 6, 8, 10) if i + d < 200}
+    assert {(r.a, r.b) for r in candidates.bucket_pairs(rows, 300).collect()} == {(r.a, r.b) for r in candidates.bucket_pairs(rows).collect()}

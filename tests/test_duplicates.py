@@ -10,7 +10,7 @@ from rowsieve.streaming.normalize import normalize_stream
 SHEET = [
     ["Anton Markov", "anton.markov@gmail.com"], ["Markov Anton", "antonmarkov@gmail.com"], ["Марков Антон", "anton.markov+x@gmail.com"], ["Elena Petrova", "elena@mail.ru"], ["Petrova Elena Ivanovna", "elena@mail.ru"],
     ["Progress OOO", "contact@progress.ru"], ["OOO Progress", "contact@progress.ru"], ["John Smith", "123 Main Street, Springfield"], ["John Smith", "123 Main St, Springfield"], [None, ""], ["unrelated", "words only"],
-    ["Project Apollo launch schedule overview"], ["Apollo launch schedule draft revision"],
+    ["Project Apollo launch schedule overview"], ["launch schedule of Project Gemini revision"],
 ]
 
 
