@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsieve.llm._common import lookup, map_texts, materialize, read_table
@@ -43,8 +43,11 @@ class SimHashConfig:
     #: Distinct fingerprints a shard should hold.
     shard_size: int = 2048
     max_depth: int = 14
-    #: Fingerprints that shape the top tree.
+    #: Fingerprints that shape the trees of a round.
     sample: int = 40_000
+    #: Rounds of routing: the first deals all out, the others part what came out too large, so many shards at once.
+    rounds: int = 4
+    hot_shards: int = 64
     #: Shards are split down to leaves of this size.
     leaf: int = 256
     seed: int = 42
@@ -156,23 +159,58 @@ def solve(fps: np.ndarray, radius: int, leaf: int, seed: int) -> list[tuple[int,
     return found
 
 
-def links(nodes: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
-    """Links (a, b) between nodes (fp, distinct, and node) that span the components of near fingerprints."""
-    spark = nodes.sparkSession
-    ship(spark)
-    n = nodes.count()
-    depth = min(cfg.max_depth, max(0, int(np.ceil(np.log2(max(1, n) / cfg.shard_size)))))
-    order = F.xxhash64(F.lit(cfg.seed), "fp")
-    share = min(1.0, cfg.sample / max(1, n)) * 2.0**64 - 2.0**63
-    sample = [r["fp"] for r in nodes.where(order <= F.lit(share)).select("fp").limit(2 * cfg.sample).collect()] if depth else []
-    tree = TopTree(np.sort(np.array(sample, dtype=np.int64)).view(np.uint64), depth, cfg)
-    radius, leaf, seed = cfg.radius, cfg.leaf, cfg.seed
+def _sample(rows: DataFrame, share: Column, most: int, cfg: SimHashConfig) -> list[tuple[int, int]]:
+    """(shard, fp) of about share of rows, chosen by a hash, in order."""
+    chosen = rows.where(F.xxhash64(F.lit(cfg.seed), "fp") / F.lit(2.0**64) + 0.5 <= share).select("shard", "fp").limit(2 * most)
+    return sorted((r["shard"], r["fp"]) for r in chosen.collect())
+
+
+def _routed(rows: DataFrame, trees: dict[int, tuple[int, TopTree]]) -> DataFrame:
+    """Send rows (shard, fp, node) down the tree of their shard; its leaves are shards numbered from a first one on."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            at, shard = tree.route(fps)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["shard", "fp", "node"])
+            old, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for shard in np.unique(old).tolist():
+                first, tree = trees[shard]
+                mine = np.flatnonzero(old == shard)
+                at, leaf = tree.route(fps[mine])
+                at = pa.array(mine[at])
+                yield pa.RecordBatch.from_arrays([pa.array(first + leaf), batch.column(1).take(at), batch.column(2).take(at)], names=["shard", "fp", "node"])
+
+    return rows.mapInArrow(route, "shard bigint, fp bigint, node bigint")
+
+
+def shards(nodes: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
+    """shard, fp and node of nodes (fp, node), guests included.
+
+    Shards that near copies have made large get trees of their own, in a few rounds; a group too tight for any vantage
+    point to part stays together and is left to solve()."""
+    rows, n, first = nodes.select(F.lit(0).cast("long").alias("shard"), "fp", "node"), nodes.count(), 1
+    counts = {0: n} if n > cfg.shard_size else {}
+    for _ in range(cfg.rounds):
+        if not counts:
+            break
+        each = max(1, cfg.sample // len(counts))
+        hot = F.col("shard").isin(list(counts))
+        share = F.element_at(F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, min(1.0, each / c))]), F.col("shard"))
+        sample, trees = _sample(rows.where(hot), share, cfg.sample, cfg), {}
+        for shard, count in counts.items():
+            fps = np.array([fp for s, fp in sample if s == shard], dtype=np.int64).view(np.uint64)
+            depth = min(cfg.max_depth, int(np.ceil(np.log2(count / cfg.shard_size))))
+            trees[shard] = (first, TopTree(fps, depth, cfg))
+            first += 1 << depth
+        rows = materialize(rows.where(~hot).unionByName(_routed(rows.where(hot), trees)), "simhash-shards")
+        sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * cfg.shard_size)
+        # At most rows / (4 * shard_size) of them; the largest first, as many as trees are worth having for.
+        counts = {r["shard"]: r["n"] for r in sizes.orderBy(F.col("n").desc(), "shard").limit(cfg.hot_shards).collect()}
+    return rows
+
+
+def links(nodes: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
+    """Links (a, b) between nodes (fp, distinct, and node) that span the components of near fingerprints."""
+    ship(nodes.sparkSession)
+    radius, leaf, seed = cfg.radius, cfg.leaf, cfg.seed
 
     def local(shard: pa.Table) -> pa.Table:
         fps = shard.column("fp").to_numpy().view(np.uint64)
@@ -180,8 +218,7 @@ def links(nodes: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
         node = shard.column("node").combine_chunks()
         return pa.table({"a": node.take(pa.array(found[:, 0])), "b": node.take(pa.array(found[:, 1]))})
 
-    routed = nodes.select("fp", "node").mapInArrow(route, "shard bigint, fp bigint, node bigint")
-    return routed.groupBy("shard").applyInArrow(local, "a bigint, b bigint")
+    return shards(nodes, cfg).groupBy("shard").applyInArrow(local, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -192,6 +229,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     a size-checked lookup, so a hub's edges stay spread."""
     both = edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = materialize(both.distinct(), tag)
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     while True:
         # Large star: each node's larger neighbours are tied to the smallest of it and its neighbours.
         around = edges.union(edges.select(F.col("b"), F.col("a")))

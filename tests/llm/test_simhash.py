@@ -103,3 +103,23 @@ def test_documents_against_brute_force(spark):
     want = sorted((str(ids[i]), fps[i], str(best.get(label[i]))) for i in range(len(rows)))
     assert sorted((str(r.doc_id), r.fp % 2**64, str(r.component_id)) for r in got) == want
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_large_groups_of_near_copies(spark):
+    rng, centre = random.Random(3), 0x0123456789ABCDEF
+    fps = {centre}
+    while len(fps) < 1200:  # a walk of short steps around one place
+        fps.add(rng.choice(tuple(fps)) ^ (1 << rng.randrange(64) | 1 << rng.randrange(64)) if rng.random() < 0.3 else centre ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+    fps |= {rng.getrandbits(64) for _ in range(300)}
+    values = np.array(sorted(fps), dtype=np.uint64)
+    nodes = spark.createDataFrame([(int(v), int(v)) for v in values.view(np.int64)], "fp bigint, node bigint")
+    cfg = SimHashConfig(shard_size=32, leaf=16)
+    routed = simhash.shards(nodes, cfg).groupBy("shard").count().collect()
+    whole = simhash.shards(nodes, SimHashConfig(shard_size=32, leaf=16, rounds=1)).groupBy("shard").count().collect()
+    assert max(r["count"] for r in routed) < max(r["count"] for r in whole)
+    near = [np.flatnonzero(np.bitwise_count(values ^ f) <= 2).tolist() for f in values]
+    want, at = closed(len(values), near), {int(v): i for i, v in enumerate(values.view(np.int64))}
+    edges = [[] for _ in values]
+    for r in simhash.links(nodes, cfg).collect():
+        edges[at[r.a]].append(at[r.b])
+    assert closed(len(values), edges) == want
