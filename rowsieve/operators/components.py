@@ -17,6 +17,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     with very many edges is in no step in one task."""
     ordered = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = store(ordered.distinct(), "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     while True:
         both = edges.unionAll(edges.select("b", "a"))
         smallest = store(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m")), "large-star")

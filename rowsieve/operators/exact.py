@@ -36,16 +36,24 @@ def alnum_edges(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
 
 
-def exact_groups(rows: DataFrame) -> DataFrame:
-    """row_id, value, component (the smallest row_id of the group) and group_size of rows (row_id, value)."""
-    rows = store(keyed(rows), "exact-keys")
-    classes = store(canonical_classes(rows), "exact-classes")
-    found = store(connected_components(alnum_edges(rows, classes)), "exact-components")
+def _joined_classes(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """canonical, component and group_size of classes, some of which found (node, component) joins."""
     classes = lookup(classes, found.select(F.col("node").alias("class"), "component"), ["class"], F.col("canonical"), "left")
     classes = store(classes.select("canonical", "n", F.coalesce("component", "class").alias("component")), "exact-classes")
     sizes = store(classes.groupBy("component").agg(F.sum("n").alias("group_size")).where("group_size > 1"), "exact-sizes")
     classes = lookup(classes, sizes, ["component"], F.col("canonical"), "left")
-    classes = store(classes.select("canonical", "component", F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size")), "exact-classes")
+    return classes.select("canonical", "component", F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
+
+
+def exact_groups(rows: DataFrame) -> DataFrame:
+    """row_id, value, component (the smallest row_id of the group) and group_size of rows (row_id, value)."""
+    rows = store(keyed(rows), "exact-keys")
+    classes = store(canonical_classes(rows), "exact-classes")
+    found = connected_components(alnum_edges(rows, classes))
+    if found.isEmpty():  # every class is a group
+        classes = classes.select("canonical", F.col("class").alias("component"), F.col("n").alias("group_size"))
+    else:
+        classes = store(_joined_classes(classes, store(found, "exact-components")), "exact-classes")
     # Both sides are shuffled for this join only, so the pieces of a very common key can be dealt anew at run time.
     return rows.select("row_id", "value", "canonical").join(classes, "canonical").select("row_id", "value", "component", "group_size")
 
