@@ -10,7 +10,8 @@ them: the holdout) decide the cutoffs, stratum by stratum:
   stratum that it rejects, is at most ``max_false_rejection``. Each bound holds at confidence
   1 - alpha / (strata * rules * edges), so by Bonferroni all chosen cutoffs are safe at once with confidence 1 - alpha.
 * The rules of a stratum share the allowance equally, so the union of their rejections stays within it.
-* Of the safe cutoffs, the lowest that also rejects mostly bad documents is taken; without one the rule is off.
+* Of the safe cutoffs that reject mostly bad documents, the highest is taken that rejects nearly as many bad ones as any;
+  without one the rule is off.
 
 The histograms are sums over all labelled documents, at most rules * (edges + 1) rows a stratum, and every stratum is
 calibrated on its own in a task. Texts are never shuffled.
@@ -52,6 +53,8 @@ class QualityConfig:
     max_false_rejection: float = 0.05
     #: A cutoff is only worth having if this share of the labelled documents that it rejects is bad.
     min_precision: float = 0.8
+    #: Of the safe cutoffs the highest is taken that rejects this share of what the best of them does.
+    near_best: float = 0.98
     min_words: int = 10
     max_repeat_percent: int = 20
 
@@ -151,13 +154,15 @@ def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, cfg: Quality
             good, bad = np.zeros(len(edges) + 1), np.zeros(len(edges) + 1)
             mine = rows[rows["rule"] == rule]
             good[mine["bin"]], bad[mine["bin"]] = mine["good"], mine["bad"]
-            row[rule] = None
+            safe: list[tuple[float, int]] = []
             for i, edge in enumerate(edges):
                 above, wrong = int(bad[i + 1 :].sum()), int(good[i + 1 :].sum())
                 # The bound is above the share seen, so most cutoffs need no bound.
                 if above and above >= least * (above + wrong) and wrong <= allowed * good.sum() and upper_bound(wrong, int(good.sum()), level) <= allowed:
-                    row[rule] = edge
-                    break
+                    safe.append((edge, above))
+            # Of those that reject nearly as much as any, the one that leaves clean documents the most room.
+            most = max((above for _, above in safe), default=0)
+            row[rule] = max((edge for edge, above in safe if above >= cfg.near_best * most), default=None)
         return pd.DataFrame([row], columns=["stratum", *RULES])
 
     schema = "stratum string, " + ", ".join(f"{r} double" for r in RULES)
