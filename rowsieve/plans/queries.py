@@ -55,7 +55,7 @@ def part_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of parts in four spellings, for the exact stage."""
-    k, name = F.col("p_partkey"), F.col("p_name")
+    k, name = F.col("p_partkey"), F.concat("p_name", F.lit(" of the main store"))
     spelt = F.when(k % 4 == 0, F.concat(name, F.lit(" "), "p_brand")).when(k % 4 == 1, F.concat("p_brand", F.lit(" "), name))
     spelt = spelt.when(k % 4 == 2, F.replace(F.concat(name, F.lit(" "), "p_brand"), F.lit("#"), F.lit(""))).otherwise(F.concat(name, F.lit(" - "), "p_brand"))
     return table(spark, sf_dir, "part").select(k.alias("row_id"), F.lower(spelt).alias("value"))
@@ -74,8 +74,9 @@ PART = f"""
 cells AS (SELECT p_partkey AS row_id, list_filter([{', '.join(TEXT.format(f'lower({c})') for c in ('p_name', 'p_brand', 'p_type'))}], lambda x: length(x) >= 2) AS cells FROM part),
 vals AS (SELECT row_id, array_to_string(cells, ' | ') AS value FROM cells WHERE length(array_to_string(cells, ' | ')) >= 3)"""
 NAMES = """
+names AS (SELECT p_partkey, p_brand, p_name || ' of the main store' AS p_name FROM part),
 vals AS (SELECT p_partkey AS row_id, lower(CASE p_partkey % 4 WHEN 0 THEN p_name || ' ' || p_brand WHEN 1 THEN p_brand || ' ' || p_name
-    WHEN 2 THEN replace(p_name || ' ' || p_brand, '#', '') ELSE p_name || ' - ' || p_brand END) AS value FROM part)"""
+    WHEN 2 THEN replace(p_name || ' ' || p_brand, '#', '') ELSE p_name || ' - ' || p_brand END) AS value FROM names)"""
 KEYED = """
 keyed AS (SELECT row_id, value, list_sort(list_filter(string_split_regex(value, '[^\\p{L}0-9]+'), lambda t: t <> '')) AS tokens,
     regexp_replace(value, '[^A-Za-z0-9]', '', 'g') AS alnum FROM vals)"""
