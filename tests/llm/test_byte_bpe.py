@@ -1,9 +1,11 @@
+import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 
-from rowsieve.llm.byte_bpe import TreeEncoder
+from rowsieve.llm.byte_bpe import TreeEncoder, encode_documents
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -38,3 +40,18 @@ def test_default_leaves_and_documents():
     assert tree.encode(text) == tree.core.encode_ordinary(text)
     assert tree.decode(tree.encode(text)) == text.encode()
     assert tree.encode("") == [] and tree.decode([]) == b""
+
+
+def test_documents(spark):
+    tree = TreeEncoder(PATH)
+    rows = [(1, "It's a test", 5), (None, "no key", None), (2, None, 1), (3, "", 1), (4, "long text " * 30_000, 1), (1, "It's a test", 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens bigint").repartition(3)
+    got = encode_documents(docs).collect()
+    want = []
+    for k, text, _ in rows:
+        ids = tree.core.encode_ordinary(text or "")
+        digests = [hashlib.sha256(x).hexdigest() for x in (np.array(ids, dtype="<u4").tobytes(), (text or "").encode())]
+        want.append(str((k, len(ids), *digests, ids)))
+    assert sorted(str((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, r.ids)) for r in got) == sorted(want)
+    assert "ids" not in encode_documents(docs, ids=False).columns
+    assert encode_documents(docs.limit(0)).count() == 0
