@@ -58,40 +58,56 @@ def routed(rows: DataFrame, cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
     return rows.withColumn("route", route(F.col("weighted"), F.col("max_len"), cfg))
 
 
-def neural_scores(pairs: DataFrame, scorer: PairScorer, cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
-    """left, right and neural of the distinct texts in pairs.
-
-    The scorer sees neural_batch pairs at once and none with an empty side, which scores 0. A batch that fails or answers
-    with the wrong number of scores, and scores outside 0 to 1, count as 0. Nothing is remembered, so a failure isn't either."""
+def score_texts(scorer: PairScorer, pairs: list[tuple[str | None, str | None]], batch: int) -> list[float | None]:
+    """Scores of pairs of texts, batch at a time. A pair with an empty side scores 0 and isn't asked for; one whose batch
+    failed, or whose score is missing or outside 0 to 1, has None."""
+    stripped = [((a or "").strip(), (b or "").strip()) for a, b in pairs]
+    full, out = [i for i, (a, b) in enumerate(stripped) if a and b], [0.0] * len(pairs)
+    for at in range(0, len(full), batch):
+        asked = full[at : at + batch]
+        try:
+            answers = list(scorer([stripped[i] for i in asked]))
+            if len(answers) != len(asked):
+                raise ValueError(f"{len(answers)} scores for {len(asked)} pairs")
+        except Exception as e:
+            log.warning("scorer failed: %s", e)
+            answers = [None] * len(asked)
+        for i, x in zip(asked, answers):
+            out[i] = float(x) if x is not None and 0.0 <= x <= 1.0 else None
+    return out
+
+
+def score_pair(scorer: PairScorer, left: str | None, right: str | None) -> float:
+    """The score of one pair; 0 where there is none."""
+    return score_texts(scorer, [(left, right)], 1)[0] or 0.0
+
+
+def neural_scores(pairs: DataFrame, scorer: PairScorer, cfg: ScoreConfig = ScoreConfig(), known: DataFrame | None = None) -> DataFrame:
+    """left, right and neural (null where the scorer has failed) of the distinct texts in pairs.
+
+    known has scores from earlier runs, in the same columns: those pairs aren't asked for. To remember, store the rows of
+    the result that aren't null."""
     ship(pairs.sparkSession)
-    size = cfg.neural_batch
+    size, asked = cfg.neural_batch, pairs.select("left", "right").distinct()
 
-    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = list(zip(*(["" if t is None else t.strip() for t in c.to_pylist()] for c in batch.columns)))
-            full, out = [i for i, (a, b) in enumerate(texts) if a and b], [0.0] * len(texts)
-            for at in range(0, len(full), size):
-                asked = full[at : at + size]
-                try:
-                    answers = list(scorer([texts[i] for i in asked]))
-                    if len(answers) != len(asked):
-                        raise ValueError(f"{len(answers)} scores for {len(asked)} pairs")
-                except Exception as e:
-                    log.warning("scorer failed: %s", e)
-                    continue
-                for i, x in zip(asked, answers):
-                    out[i] = float(x) if x is not None and 0.0 <= x <= 1.0 else 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=pa.float64())], names=["left", "right", "neural"])
-
-    return pairs.select("left", "right").distinct().mapInArrow(batches_of, "left string, right string, neural double")
+            texts = list(zip(*[c.to_pylist() for c in batch.columns]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(scorer, texts, size), type=pa.float64())], names=["left", "right", "neural"])
+
+    if known is None:
+        return asked.mapInArrow(ask, "left string, right string, neural double")
+    known = known.where("neural is not null").select("left", "right", "neural").dropDuplicates(["left", "right"])
+    found = asked.join(known, ["left", "right"])
+    return asked.join(known, ["left", "right"], "left_anti").mapInArrow(ask, "left string, right string, neural double").unionByName(found)
 
 
 def neural_confirmed(neural: Column, max_len: Column, cfg: ScoreConfig = ScoreConfig()) -> Column:
     return neural >= F.when(max_len < cfg.nn_len_limit, F.lit(cfg.nn_confirm_short)).otherwise(F.lit(cfg.nn_confirm_long))
 
 
-def with_neural(rows: DataFrame, scorer: PairScorer, cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
+def with_neural(rows: DataFrame, scorer: PairScorer, cfg: ScoreConfig = ScoreConfig(), known: DataFrame | None = None) -> DataFrame:
     """Undecided rows with neural and neural_confirm. A pair without a score has 0."""
-    answers = neural_scores(rows, scorer, cfg)
+    answers = neural_scores(rows, scorer, cfg, known)
     rows = rows.join(answers, ["left", "right"], "left").withColumn("neural", F.coalesce("neural", F.lit(0.0)))
     return rows.withColumn("neural_confirm", neural_confirmed(F.col("neural"), F.col("max_len"), cfg))

@@ -108,7 +108,12 @@ def test_neural_stage(spark):
     cfg = ScoreConfig(neural_batch=1)
     got = {r.left: (r.neural, r.neural_confirm) for r in scoring.with_neural(df, failing, cfg).collect()}
     assert got == {"high": (0.9, True), "odd": (0.0, False), "none": (0.0, False), "other": (0.5, False), " ": (0.0, False), None: (0.0, False), "bad": (0.0, False)}
-    assert scoring.neural_scores(df, failing, cfg).count() == 7
+    scores = scoring.neural_scores(df, failing, cfg).cache()
+    assert scores.count() == 7 and {r.left for r in scores.where("neural is null").collect()} == {"odd", "none", "bad"}
+    # Scores of an earlier run are taken from there; failures were not remembered and are asked for again.
+    again = {r.left: r.neural for r in scoring.neural_scores(df, lambda pairs: [0.125] * len(pairs), cfg, scores).collect()}
+    assert again == {"high": 0.9, "other": 0.5, "odd": 0.125, "none": 0.125, "bad": 0.125, " ": 0.0, None: 0.0}
+    assert scoring.score_pair(failing, " high ", "x") == 0.9 and scoring.score_pair(failing, None, "x") == scoring.score_pair(failing, "bad", "x") == 0.0
     assert {r.neural for r in scoring.with_neural(df, scoring.no_scorer).collect()} == {0.0}
 
 
