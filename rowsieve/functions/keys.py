@@ -9,7 +9,8 @@ from rowsieve.functions.normalize import trim_control
 
 #: Separators of tokens, and patterns of the types.
 BARS = r"\s*\|\s*"
-SYMBOLS = r"[^\p{IsAlphabetic}\d]+"
+NO_WORD = r"[^\p{IsAlphabetic}\d]"
+SYMBOLS = NO_WORD + "+"
 ISBN = r"(?i)\b(?:isbn(?::|\s))?\s*(97[89][- ]?)?\d{1,5}[- ]?\d{1,7}[- ]?\d{1,7}[- ]?[\dX]\b"
 HASH = r"\b[0-9a-fA-F]{32}\b|\b[0-9a-fA-F]{40}\b|\b[0-9a-fA-F]{64}\b"
 TYPED_URL = r"(?i)\A(?:[a-z][a-z0-9+.-]*://.*|\w+\.[a-z]{2,}.*)\z"
@@ -19,16 +20,18 @@ def original(value: Column) -> Column:
     return trim_control(F.coalesce(value, F.lit("")))
 
 
-def _split(value: Column, pattern: str) -> Column:
-    """Tokens with those that are empty at the end left off, but not one at the start; of an empty value the empty token."""
-    tokens = F.split(F.regexp_replace(value, rf"(?:{pattern})+\z", ""), pattern, -1)
-    only = value.rlike(rf"\A(?:{pattern})+\z")
+def _split(value: Column, pattern: str, chars: str) -> Column:
+    """Tokens with those that are empty at the end left off, but not one at the start; of an empty value the empty token.
+    chars: the class of characters of separators."""
+    # One class and tried from the start of a run only, so that it takes linear time.
+    tokens = F.split(F.regexp_replace(value, rf"(?<!{chars}){chars}+\z", ""), pattern, -1)
+    only = value.rlike(rf"\A{chars}+\z")
     return F.when(value == "", F.array(F.lit(""))).when(only, F.array().cast("array<string>")).otherwise(tokens)
 
 
 def canonical_tokens(value: Column) -> Column:
     """Sorted tokens, repeats included: cells of a row with bars, else words."""
-    return F.array_sort(F.when(value.contains("|"), _split(value, BARS)).otherwise(_split(value, SYMBOLS)))
+    return F.array_sort(F.when(value.contains("|"), _split(value, BARS, r"[\s|]")).otherwise(_split(value, SYMBOLS, NO_WORD)))
 
 
 def canonical(value: Column) -> Column:

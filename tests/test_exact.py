@@ -62,3 +62,12 @@ def test_components_against_brute_force(spark):
     touched = {x for a, b in pairs if a != b for x in (a, b)}
     got = connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()
     assert {r.node: r.component for r in got} == {x: label[x] for x in touched} and len(got) == len(touched)
+
+
+def test_long_runs_take_linear_time(spark):
+    v, n = F.col("v"), 200_000
+    rows = [("-" * n + "a" + "-" * n,), ("|" * n + "a" + " |" * n,), (" " * n + "a" + " " * n + "b",), ("a" + " | " * n + "b",)]
+    began = time.time()
+    got = spark.createDataFrame(rows, "v string").select(keys.canonical_tokens(keys.original(v)).alias("t")).collect()
+    assert time.time() - began < 20
+    assert [len(r.t) for r in got] == [2, n + 1, 2, n + 1]

@@ -100,3 +100,10 @@ def test_many_rows_are_quick(spark, n):
     assert normalize_rows(rows).count() == n
     normalize_rows(rows).write.format("noop").mode("overwrite").save()
     assert time.time() - began < 10
+
+
+def test_long_cells(spark):
+    n = 100_000
+    cells = ["a." * n + "@" + "b." * n + "com", " " * n + "x" + " " * n + "y", "http://h" + "/" * n + "x/y", "." * n + "-" * n, "1" * n, "+" * n]
+    got = normalized(spark, [[c] for c in cells], NormalizeConfig(min_cell=0, min_row=0))
+    assert got[1] == "x y" and len(got) == len(cells)
