@@ -9,8 +9,12 @@ fingerprint are a node, named by their smallest key; nodes are linked where thei
 * By the triangle inequality a pair that the split separates has its inner member within radius of the split. So
   a fingerprint with a distance in (split - radius, split] goes outside as well, as a guest: every linked pair meets in a
   shard, and nearly all others never do.
-* A shard is solved by the same recursion down to small leaves, which are compared all against all, and leaves behind a
-  spanning forest: at most one link a row, however many pairs a group has.
+* A shard is solved by the same recursion down to small leaves, which are compared all against all; a group of near
+  copies that no vantage point parts is solved by leaders. It leaves behind a spanning forest: at most one link a row,
+  however many pairs a group has.
+
+For the pipeline (SIMILAR) links mean similar texts: the trees find the pairs that are near in single words, and a longer
+fingerprint of five-word shingles, which goes along, decides.
 
 Components come from the forest by label propagation over written tables. The sample only shapes the tree; with any tree
 the links are the same. The top tree has at most 2 ** ``max_depth`` leaves, whatever the input.
@@ -39,7 +43,12 @@ from rowsieve.shipping import ship
 @dataclass(frozen=True)
 class SimHashConfig:
     shingle: int = 3
+    #: Most bits in which linked fingerprints differ.
     radius: int = 2
+    #: Longer fingerprints, of wide * 64 bits of other shingles, that must be near as well; 0: none.
+    wide: int = 0
+    wide_shingle: int = 5
+    wide_radius: int = 42
     #: Distinct fingerprints a shard should hold.
     shard_size: int = 2048
     max_depth: int = 14
@@ -53,32 +62,68 @@ class SimHashConfig:
     seed: int = 42
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The 64-bit fingerprint, unsigned."""
-    words = text.encode().lower().split() if text else []  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
+#: Documents whose sets of five-word shingles have a Jaccard index of 0.8 or so: their shingles' cosine is then 0.89, and
+#: 256-bit fingerprints differ in 39 bits on average, with a deviation of 6; unrelated ones differ in 128. The trees go by
+#: fingerprints of single words, in which such pairs differ least.
+SIMILAR = SimHashConfig(shingle=1, radius=4, wide=4, leaf=8192)
+
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+#: Odd multipliers that make more hashes of one.
+_ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+
+
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of every run of so many words, blank-joined; of all words if they are fewer."""
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(joined, 42)
+    if len(words) <= size:
+        return np.array([digest(joined, 42)] if words else [], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-shingle]]).tolist()
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], dtype=np.uint64)
-    total = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        total += bits.sum(0, dtype=np.int64)
+    starts = np.concatenate([[0], ends[:-size]]).tolist()
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the hashes."""
+    columns = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    if len(hashes) < 256:
+        total = np.unpackbits(columns, axis=1).sum(0, dtype=np.int64)
+    else:  # how often each byte stands in each place tells how often each bit is set
+        total = np.concatenate([np.bincount(columns[:, j], minlength=256) @ _BITS for j in range(8)])
     return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
 
 
+def _words(text: str | None) -> list[bytes]:
+    return text.encode().lower().split() if text else []  # of bytes: A-Z and ASCII white space only
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The 64-bit fingerprint, unsigned."""
+    return majority(shingle_hashes(_words(text), shingle))
+
+
+def _fingerprints(text: str | None, cfg: SimHashConfig) -> list[int]:
+    words = _words(text)
+    found = [majority(shingle_hashes(words, cfg.shingle))]
+    if cfg.wide:
+        hashes = shingle_hashes(words, cfg.wide_shingle)
+        for odd in _ODD[: cfg.wide]:
+            mixed = hashes * np.uint64(odd)
+            found.append(majority((mixed ^ mixed >> np.uint64(29)) * np.uint64(_ODD[1])))
+    return found
+
+
 def fingerprints(docs: DataFrame, cfg: SimHashConfig = SimHashConfig(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, text_hash and fp (the fingerprint as a signed long), written to the shared folder."""
+    """doc_id, text_hash, fp (the fingerprint as a signed long), w0, w1, ... (the wide one) and node, written to the shared
+    folder. node names what a text's links depend on: fp, or a hash of all."""
+    names = ["fp", *(f"w{i}" for i in range(cfg.wide))]
 
     def work(texts: list[str | None]) -> list[np.ndarray]:
-        return [np.array([fingerprint(x, cfg.shingle) for x in texts], dtype=np.uint64).view(np.int64)]
+        made = np.array([_fingerprints(x, cfg) for x in texts], dtype=np.uint64).reshape(len(texts), len(names))
+        return [made[:, i].view(np.int64) for i in range(len(names))]
 
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
-    return materialize(map_texts(rows, "text", ("doc_id", "text_hash"), "fp bigint", work), "simhash")
+    rows = map_texts(rows, "text", ("doc_id", "text_hash"), ", ".join(f"{c} bigint" for c in names), work)
+    return materialize(rows.withColumn("node", F.xxhash64(*names) if cfg.wide else F.col("fp")), "simhash")
 
 
 class TopTree:
@@ -123,9 +168,9 @@ def choose_split(distances: np.ndarray, radius: int) -> int:
     return int(fair[np.argmin(guests + np.abs(below[fair] - n / 2) * 0.2)])
 
 
-def solve(fps: np.ndarray, radius: int, leaf: int, seed: int) -> list[tuple[int, int]]:
-    """Links (positions) that span the components of distinct fps under links of at most radius bits."""
-    parent = np.arange(len(fps))
+def solve(fps: np.ndarray, wide: np.ndarray, cfg: SimHashConfig) -> list[tuple[int, int]]:
+    """Links (positions) that span the components of fps and wide (a row each) under links within the radii."""
+    parent, found = np.arange(len(fps)), []
 
     def roots(rows: np.ndarray) -> np.ndarray:
         top = parent[rows]
@@ -134,28 +179,62 @@ def solve(fps: np.ndarray, radius: int, leaf: int, seed: int) -> list[tuple[int,
         parent[rows] = top
         return top
 
-    found, rng, stack = [], np.random.default_rng(seed), [np.arange(len(fps))]
+    def near(block: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        close = np.bitwise_count(fps[block][:, None] ^ fps[rows][None]) <= cfg.radius
+        if cfg.wide:
+            a, b = np.nonzero(close)
+            far = np.zeros(len(a), dtype=np.int64)
+            for w in range(cfg.wide):
+                far += np.bitwise_count(wide[block[a], w] ^ wide[rows[b], w])
+            close[a, b] = far <= cfg.wide_radius
+        return close
+
+    def unite(one: int, others: np.ndarray) -> None:
+        tops = roots(others)
+        for top in np.unique(tops):
+            mine = roots(np.array([one]))[0]
+            if top != mine:
+                parent[max(top, mine)] = min(top, mine)
+                found.append((int(one), int(others[np.argmax(tops == top)])))
+
+    def small(rows: np.ndarray) -> None:
+        for at in range(0, len(rows), 256):
+            close = near(rows[at : at + 256], rows[at:])
+            for i in np.flatnonzero(close.sum(1) > 1):  # more than itself
+                unite(rows[at + i], rows[at:][close[i]])
+
+    def tight(rows: np.ndarray) -> None:
+        """Rows that no vantage point parts: near copies, nearly all linked to a few of them. Leaders take what is linked to
+        them; what is left to compare are followers with later rows not yet in their component."""
+        groups, rest = [], rows
+        while len(rest):
+            close = near(rest[:1], rest)[0]
+            unite(rest[0], rest[close])
+            groups.append(rest[close])
+            rest = rest[~close]
+        ordered, end = np.concatenate(groups), 0
+        for group in groups:
+            end += len(group)
+            for at in range(1, len(group), 256):
+                block, later = group[at : at + 256], ordered[end:]
+                later = later[roots(later) != roots(group[:1])[0]]
+                close = near(block, later)
+                for i in np.flatnonzero(close.any(1)):
+                    unite(block[i], later[close[i]])
+
+    rng, stack = np.random.default_rng(cfg.seed), [np.arange(len(fps))]
     while stack:
         rows = stack.pop()
-        if len(rows) > leaf:
-            far = np.bitwise_count(fps[rows] ^ fps[rng.choice(rows)]).astype(np.int64)
-            split = choose_split(far, radius)
-            inner, outer = rows[far <= split], rows[far > split - radius]
-            if max(len(inner), len(outer)) < 0.95 * len(rows):
-                stack += [inner, outer]
-                continue
-            # Too close to one another to be parted: all against all, in blocks.
-        for at in range(0, len(rows), 256):
-            block = rows[at : at + 256]
-            near = np.bitwise_count(fps[block][:, None] ^ fps[rows[at:]][None]) <= radius
-            for i in np.flatnonzero(near.sum(1) > 1):  # more than itself
-                others = rows[at:][near[i]]
-                tops = roots(others)
-                for top in np.unique(tops):
-                    mine = roots(block[i : i + 1])[0]
-                    if top != mine:
-                        parent[max(top, mine)] = min(top, mine)
-                        found.append((int(block[i]), int(others[np.argmax(tops == top)])))
+        if len(rows) <= cfg.leaf:
+            small(rows)
+            continue
+        far = np.bitwise_count(fps[rows] ^ fps[rng.choice(rows)]).astype(np.int64)
+        split = choose_split(far, cfg.radius)
+        inner, outer = rows[far <= split], rows[far > split - cfg.radius]
+        if max(len(inner), len(outer)) < 0.8 * len(rows):
+            stack += [inner, outer]
+        else:
+            tight(rows)
     return found
 
 
@@ -166,7 +245,7 @@ def _sample(rows: DataFrame, share: Column, most: int, cfg: SimHashConfig) -> li
 
 
 def _routed(rows: DataFrame, trees: dict[int, tuple[int, TopTree]]) -> DataFrame:
-    """Send rows (shard, fp, node) down the tree of their shard; its leaves are shards numbered from a first one on."""
+    """Send rows (shard, fp, node, ...) down the tree of their shard; its leaves are shards numbered from a first one on."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,17 +255,18 @@ def _routed(rows: DataFrame, trees: dict[int, tuple[int, TopTree]]) -> DataFrame
                 mine = np.flatnonzero(old == shard)
                 at, leaf = tree.route(fps[mine])
                 at = pa.array(mine[at])
-                yield pa.RecordBatch.from_arrays([pa.array(first + leaf), batch.column(1).take(at), batch.column(2).take(at)], names=["shard", "fp", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(first + leaf), *[c.take(at) for c in batch.columns[1:]]], names=batch.schema.names)
 
-    return rows.mapInArrow(route, "shard bigint, fp bigint, node bigint")
+    return rows.mapInArrow(route, rows.schema)
 
 
 def shards(nodes: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
-    """shard, fp and node of nodes (fp, node), guests included.
+    """shard and the columns of nodes (fp, node, w0, ...), guests included.
 
     Shards that near copies have made large get trees of their own, in a few rounds; a group too tight for any vantage
     point to part stays together and is left to solve()."""
-    rows, n, first = nodes.select(F.lit(0).cast("long").alias("shard"), "fp", "node"), nodes.count(), 1
+    names = ["fp", "node", *(f"w{i}" for i in range(cfg.wide))]
+    rows, n, first = nodes.select(F.lit(0).cast("long").alias("shard"), *names), nodes.count(), 1
     counts = {0: n} if n > cfg.shard_size else {}
     for _ in range(cfg.rounds):
         if not counts:
@@ -208,13 +288,13 @@ def shards(nodes: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
 
 
 def links(nodes: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
-    """Links (a, b) between nodes (fp, distinct, and node) that span the components of near fingerprints."""
+    """Links (a, b) between nodes (fp, node, distinct, and w0, ...) that span the components of near fingerprints."""
     ship(nodes.sparkSession)
-    radius, leaf, seed = cfg.radius, cfg.leaf, cfg.seed
 
     def local(shard: pa.Table) -> pa.Table:
         fps = shard.column("fp").to_numpy().view(np.uint64)
-        found = np.array(solve(fps, radius, leaf, seed), dtype=np.int64).reshape(-1, 2)
+        wide = np.stack([shard.column(f"w{i}").to_numpy().view(np.uint64) for i in range(cfg.wide)], axis=1) if cfg.wide else fps[:, None]
+        found = np.array(solve(fps, wide, cfg), dtype=np.int64).reshape(-1, 2)
         node = shard.column("node").combine_chunks()
         return pa.table({"a": node.take(pa.array(found[:, 0])), "b": node.take(pa.array(found[:, 1]))})
 
@@ -253,29 +333,31 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, cfg: SimHashConfig = SimHashConfig(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, text_hash, fp (signed long), component_id (the smallest key reachable over links, its own included) and
-    component (a fingerprint that names the component, also where its keys are null)."""
+    component (a node that names the component, also where its keys are null)."""
     prints = fingerprints(docs, cfg, text, key)
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    # Keys may repeat over texts, so nodes are named by fingerprint and take the smallest key at the end.
-    found = materialize(components(links(nodes.select("fp", F.col("fp").alias("node")), cfg), "simhash-stars"), "simhash-components")
-    linked = materialize(nodes.join(found, nodes["fp"] == found["node"]).select("fp", "first_id", "component"), "simhash-linked")
+    # Keys may repeat over texts, so nodes are named by their fingerprints and take the smallest key at the end.
+    names = ["node", "fp", *(f"w{i}" for i in range(cfg.wide))]
+    nodes = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    found = materialize(components(links(nodes, cfg), "simhash-stars").withColumnRenamed("node", "__node"), "simhash-components")
+    linked = materialize(nodes.join(found, nodes["node"] == found["__node"]).select("node", "first_id", "component"), "simhash-linked")
     smallest = materialize(linked.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash-smallest")
-    linked = lookup(linked, smallest, ["component"], F.col("fp")).select(F.col("fp").alias("__fp"), "component", "component_id")
-    classes = nodes.join(linked, nodes["fp"] == linked["__fp"], "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("component", "fp").alias("component"))
+    linked = lookup(linked, smallest, ["component"], F.col("node")).select(F.col("node").alias("__node"), "component", "component_id")
+    classes = nodes.join(linked, nodes["node"] == linked["__node"], "left")
+    classes = classes.select("node", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("component", "node").alias("component"))
     classes = materialize(classes, "simhash-classes")
-    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
+    return prints.join(classes, "node").select("doc_id", "text_hash", "fp", "component_id", "component")
 
 
-def keep_one(docs: DataFrame, cfg: SimHashConfig = SimHashConfig(), text: str = "text", key: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, cfg: SimHashConfig = SIMILAR, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs, one for each component: that with the smallest key, null last, of rows with one key that of the
     smallest text hash, and one of equal rows."""
     rows = near_duplicates(docs, cfg, text, key)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    kept = rows.groupBy("component").agg(first.alias("x")).select(F.col("x.doc_id").alias("__key"), F.col("x.text_hash").alias("__hash"))
+    # One key column, in which nulls are equal, so that the join and the removal of equal rows share a shuffle.
+    kept = rows.groupBy("component").agg(first.alias("x")).select(F.struct("x.doc_id", "x.text_hash").alias("__row"))
     kept = materialize(kept.distinct(), "simhash-kept")
-    hashed = docs.withColumn("__text_hash", F.xxhash64(docs[text]))
-    on = hashed[key].cast("long").eqNullSafe(kept["__key"]) & (hashed["__text_hash"] == kept["__hash"])
-    return hashed.join(kept, on, "left_semi").dropDuplicates([key, "__text_hash"]).select(*docs.columns)
+    named = docs.withColumn("__row", F.struct(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash")))
+    return named.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

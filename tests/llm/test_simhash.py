@@ -59,7 +59,7 @@ def test_trees_lose_no_link(seed):
     for s in np.unique(shard):
         rows = at[shard == s]
         assert len(set(rows)) == len(rows)
-        found = simhash.solve(fps[rows], 2, 8, 1)
+        found = simhash.solve(fps[rows], fps[rows, None], SimHashConfig(leaf=8, seed=1))
         assert len(found) < len(rows)
         for a, b in found:
             assert int(fps[rows[a]] ^ fps[rows[b]]).bit_count() <= 2
@@ -105,6 +105,46 @@ def test_documents_against_brute_force(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("leaf", [4, 64, 5000])
+def test_wide_fingerprints_decide(leaf):
+    rng, cfg = random.Random(leaf), SimHashConfig(radius=5, wide=2, wide_radius=20, leaf=leaf)
+    rows = []
+    for _ in range(40):
+        fp, wide = rng.getrandbits(64), [rng.getrandbits(64) for _ in range(2)]
+        for _ in range(rng.choice([1, 3, 60])):
+            flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, n)))
+            rows.append((flip(fp, 3), flip(wide[0], 8), flip(wide[1], 8)))
+    all_ = np.array(rows, dtype=np.uint64)
+    far = np.bitwise_count(all_[:, None] ^ all_[None]).astype(int)
+    near = [np.flatnonzero((far[i, :, 0] <= 5) & (far[i, :, 1:].sum(1) <= 20)).tolist() for i in range(len(rows))]
+    edges = [[] for _ in rows]
+    for a, b in simhash.solve(all_[:, 0], all_[:, 1:], cfg):
+        assert b in near[a]
+        edges[a].append(b)
+    assert closed(len(rows), edges) == closed(len(rows), near)
+
+
+def test_similar_texts(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    odds = [1 / (i + 3) for i in range(3000)]  # as in prose, some words are frequent
+    base = [" ".join(rng.choices(vocabulary, odds, k=400)) for _ in range(60)]
+    rows, n = [(i, t) for i, t in enumerate(base)], 1000
+    for i, t in enumerate(base[:40]):
+        for _ in range(3):
+            words = t.split()
+            for at in rng.sample(range(400), 5):  # a Jaccard index of about 0.88
+                words[at] = rng.choices(vocabulary, odds)[0]
+            rows.append((n, " ".join(words)))
+            n += 1
+    half = base[50].split()[:200] + base[51].split()[200:]
+    rows.append((n, " ".join(half)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert set(range(60)) | {n} <= kept
+    assert len(kept) <= 61 + 6  # of 120 copies; in fewer than one of twenty single words differ in over four bits
+
+
 def test_large_groups_of_near_copies(spark):
     rng, centre = random.Random(3), 0x0123456789ABCDEF
     fps = {centre}
