@@ -35,7 +35,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Further kinds: prefixed tokens, private key headers, and long mixed tokens.
 FURTHER = (
     ("prefixed", r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{20,})", 0),
-    ("key_block", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----\s*[A-Za-z0-9+/=\s]{40,}", 0),
+    ("key_block", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----\s*[A-Za-z0-9+/=\s]{40,}", 0),
     ("mixed", r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z_]*[0-9])(?=[a-z0-9_]*[A-Z])(?=[A-Z0-9_]*[a-z])[A-Za-z0-9_]{24,}(?![A-Za-z0-9+/_=.-])", 0),
 )
 KINDS = [k for k, _, _ in (*BASE, *FURTHER)]
