@@ -65,7 +65,7 @@ class SimHashConfig:
 #: Documents whose sets of five-word shingles have a Jaccard index of 0.8 or so: their shingles' cosine is then 0.89, and
 #: 256-bit fingerprints differ in 39 bits on average, with a deviation of 6; unrelated ones differ in 128. The trees go by
 #: fingerprints of single words, in which such pairs differ least.
-SIMILAR = SimHashConfig(shingle=1, radius=4, wide=4, leaf=8192)
+SIMILAR = SimHashConfig(shingle=1, radius=4, wide=4, leaf=8192, rounds=1)
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 #: Odd multipliers that make more hashes of one.
