@@ -353,7 +353,7 @@ def keep_one(docs: DataFrame, cfg: SimHashConfig = SIMILAR, text: str = "text",
     smallest text hash, and one of equal rows."""
     rows = near_duplicates(docs, cfg, text, key)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    # One key column, in which nulls are equal, so that the join and the removal of equal rows share a shuffle.
+    # One key column, in which nulls are equal. The join and the removal of equal rows still shuffle the texts once each.
     kept = rows.groupBy("component").agg(first.alias("x")).select(F.struct("x.doc_id", "x.text_hash").alias("__row"))
     kept = materialize(kept.distinct(), "simhash-kept")
     named = docs.withColumn("__row", F.struct(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash")))
