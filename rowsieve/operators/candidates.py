@@ -19,6 +19,8 @@ from rowsieve.shipping import ship
 from rowsieve.sources.rows import limited
 
 _LARGEST = np.iinfo(np.int32).max
+#: Buckets of more rows than WHOLE are dealt into blocks of about BLOCK rows that meet each other.
+WHOLE, BLOCK = 64, 1024
 
 
 def document_frequency(rows: DataFrame) -> DataFrame:
@@ -70,16 +72,20 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
+def _meeting(keys: DataFrame) -> DataFrame:
+    x, y = keys.alias("x"), keys.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row_id") < F.col("y.row_id")))
+    return pairs.select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct()
+
+
 def bucket_pairs(rows: DataFrame, most: int | None = None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of row_ids that share a bucket key. Only ids and keys are shuffled.
 
-    With most, each row of a bucket meets that many rows behind it, in an order that puts rows of like signatures next
+    With most, which candidate_pairs does not use, each row of a bucket meets that many rows behind it, in an order that puts rows of like signatures next
     to each other: a bucket of m rows makes most * m pairs instead of m * m / 2. Smaller buckets are whole."""
     keys = rows.select("row_id", F.slice("signature", 1, 4).alias("order"), F.explode("keys").alias("key"))
     if most is None:
-        x, y = keys.alias("x"), keys.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row_id") < F.col("y.row_id")))
-        return pairs.select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct()
+        return _meeting(keys)
     bucket = Window.partitionBy("key")
     placed = keys.select("row_id", "key", F.row_number().over(bucket.orderBy("order", "row_id")).alias("place"), F.count(F.lit(1)).over(bucket).alias("n"))
     placed = store(placed.where("n > 1"), "buckets")
@@ -102,21 +108,129 @@ def similar_pairs(rows: DataFrame, pairs: DataFrame, cfg: MinHashConfig) -> Data
 
 def best_partners(pairs: DataFrame, most: int) -> DataFrame:
     """Pairs that are among the most best of both of their rows, by Jaccard index, then the other row."""
-    ends = pairs.select("first", "second", F.explode(F.array(F.struct(F.col("first").alias("row"), F.col("second").alias("other")), F.struct(F.col("second").alias("row"), F.col("first").alias("other")))).alias("end"), "jaccard")
-    place = F.row_number().over(Window.partitionBy("end.row").orderBy(F.col("jaccard").desc(), "end.other"))
-    kept = ends.withColumn("place", place).where(F.col("place") <= most).groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"))
-    return kept.where("n = 2").select("first", "second")
+    return _mutual(_ends(pairs), most)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """row, other, jaccard: each pair from both of its rows."""
+    both = F.array(F.struct(F.col("first").alias("row"), F.col("second").alias("other")), F.struct(F.col("second").alias("row"), F.col("first").alias("other")))
+    return pairs.select(F.explode(both).alias("end"), "jaccard").select("end.row", "end.other", "jaccard")
+
+
+def _mutual(ends: DataFrame, most: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.col("jaccard").desc(), "other"))
+    kept = ends.withColumn("place", place).where(F.col("place") <= most).groupBy(F.least("row", "other").alias("first"), F.greatest("row", "other").alias("second"))
+    return kept.agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("first", "second")
+
+
+def _counts(lists: pa.ChunkedArray, ids: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the distinct members of each list, and how often they are in it. ids: numbers by member, added to."""
+    out = []
+    for members in lists.to_pylist():
+        found = Counter(ids.setdefault(m, len(ids)) for m in members or [])
+        out.append((np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.float32, len(found))))
+    return out
+
+
+def _products(a: list, b: list, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each list of a and each of b: how many distinct members are common, how many members of b are in a and of a in b,
+    repeats included. Dense products over 4096 members at a time; sums stay far below 2 ** 24, so they are exact."""
+    out = [np.zeros((len(a), len(b)), dtype=np.float32) for _ in range(3)]
+    for first in range(0, n, 4096):
+        parts = []
+        for lists in (a, b):
+            once, often = np.zeros((len(lists), 4096), dtype=np.float32), np.zeros((len(lists), 4096), dtype=np.float32)
+            for i, (ids, counts) in enumerate(lists):
+                here = (ids >= first) & (ids < first + 4096)
+                once[i, ids[here] - first], often[i, ids[here] - first] = 1, counts[here]
+            parts.append((once, often))
+        (x, xs), (y, ys) = parts
+        out[0] += x @ y.T
+        if any((c > 1).any() for _, c in [*a, *b]):
+            out[1] += x @ ys.T
+            out[2] += xs @ y.T
+        else:
+            out[1], out[2] = out[0], out[0]
+    return out[0].astype(np.int64), out[1].astype(np.int64), out[2].astype(np.int64)
+
+
+def block_scores(x: pa.Table, y: pa.Table, cfg: MinHashConfig) -> np.ndarray:
+    """The Jaccard index of each row of x with each of y, -1 where they are not similar; the tests of similar_pairs."""
+    col = lambda name: (x.column(name).to_numpy()[:, None].astype(np.int64), y.column(name).to_numpy()[None].astype(np.int64))
+    names, words, found = {"": 0}, {}, {}
+    a, b = (np.array([names.setdefault(v, len(names)) for v in t.column("acronym").to_pylist()]) for t in (x, y))
+    effective, size, ids = col("eff_len"), col("len"), col("row_id")
+    shorter, least = np.minimum(*size), np.minimum(*effective)
+    alike = ((a[:, None] == b[None]) & (a[:, None] > 0)) | (least < 16) | (np.abs(effective[0] - effective[1]) * 2 <= np.maximum(*effective))
+    lists = [_counts(t.column("grams"), found) for t in (x, y)]
+    common = _products(*lists, len(found))[0]
+    of = [np.array([len(g) for g, _ in part], dtype=np.int64) for part in lists]
+    union = of[0][:, None] + of[1][None] - common
+    p, top = cfg.lsh, cfg.short_row_max_length
+    between = p.thr_short - (shorter - 5) / float(top - 5) * (p.thr_short - p.thr_long)
+    share = np.where(shorter < 5, p.thr_short, np.where(shorter >= top, p.thr_long, between))
+    usual = np.where(shorter <= 40, cfg.min_ngram_overlap, np.maximum(cfg.min_ngram_overlap, -(-shorter // 4)))
+    enough = np.where(shorter < cfg.very_short_len, cfg.min_overlap_very_short, usual)
+    close = (of[0][:, None] > 0) & (of[1][None] > 0) & (common >= enough) & (common >= share * union)
+    spoken = [_counts(t.column("words"), words) for t in (x, y)]
+    _, of_y, of_x = _products(*spoken, len(words))
+    close |= np.where(ids[0] < ids[1], of_y, of_x) >= 2  # words of the row of larger key in the other
+    return np.where(alike & close & (ids[0] != ids[1]), common / np.maximum(union, 1), -1.0)
+
+
+def block_partners(rows: DataFrame, keys: DataFrame, most: int, cfg: MinHashConfig) -> DataFrame:
+    """row, other, jaccard: for each pair of blocks of each bucket (row_id, key, n) the most best similar partners of a row.
+
+    What a pair of blocks leaves out is behind most others for that row, so it can't be among the row's best of all."""
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    dealt = keys.select("row_id", "key", blocks.alias("blocks")).withColumn("mine", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    kept = rows.select("row_id", "len", "eff_len", "acronym", "grams", grams.long_words(F.col("value")).alias("words"))
+    tasks = dealt.select("row_id", "key", F.least("mine", "with").alias("x"), F.greatest("mine", "with").alias("y"), "mine").join(kept, "row_id")
+
+    def local(task: pa.Table) -> pa.Table:
+        task = task.sort_by("row_id")  # ties go to the smaller row
+        mine = task.column("mine").to_numpy()
+        parts = [task.filter(pa.array(mine == m)) for m in np.unique(mine)]
+        out: list[list[np.ndarray]] = [[], [], []]
+        if task.column("x")[0].as_py() == task.column("y")[0].as_py():
+            parts *= 2
+        if len(parts) == 2:
+            scores = block_scores(*parts, cfg)
+            ids = [t.column("row_id").to_numpy() for t in parts]
+            ways = [(scores, *ids)] if parts[0] is parts[1] else [(scores, *ids), (scores.T, *ids[::-1])]
+            for found, one, other in ways:
+                place = np.argsort(-found, axis=1, kind="stable")[:, :most]
+                best = np.take_along_axis(found, place, axis=1)
+                i, j = np.nonzero(best >= 0)
+                for made, values in zip(out, (one[i], other[place[i, j]], best[i, j])):
+                    made.append(values)
+        flat = [np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.float64), out)]
+        return pa.table([pa.array(c) for c in flat], names=["row", "other", "jaccard"])
+
+    return tasks.groupBy("key", "x", "y").applyInArrow(local, "row bigint, other bigint, jaccard double")
 
 
 def candidate_pairs(rows: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
-    """first, second, left, right, jaccard of similar rows (row_id, value)."""
+    """first, second, left, right, jaccard of similar rows (row_id, value). Buckets are looked at whole; the cap on a row's
+    partners is applied to the pairs that pass the tests."""
     rows = store(limited(rows.select("row_id", "value"), cfg.max_batch), "candidate-rows")
-    n = rows.count()
+    n, most = rows.count(), cfg.max_pairs_per_row
     if cfg.calibrate and cfg.lsh == LshParams():
         cfg = cfg.with_lsh(calibrated(rows, n, cfg))
     made = store(features(rows, noisy_grams(rows, n, cfg), cfg), "candidate-features")
-    pairs = store(similar_pairs(made, bucket_pairs(made, cfg.max_pairs_per_row), cfg), "candidate-pairs")
-    return pairs.join(best_partners(pairs, cfg.max_pairs_per_row), ["first", "second"], "left_semi")
+    keys = made.select("row_id", F.explode("keys").alias("key"))
+    # Buckets of the same rows are one.
+    seals = [F.bit_xor(F.xxhash64("row_id", F.lit(i))).alias(f"seal{i}") for i in (0, 1)]
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *seals).where("n > 1").groupBy("n", "seal0", "seal1").agg(F.min("key").alias("key"))
+    keys = store(keys.join(buckets.select("key", "n"), "key"), "buckets")
+    small = similar_pairs(made, _meeting(keys.where(F.col("n") <= WHOLE)), cfg)
+    large = block_partners(made, keys.where(F.col("n") > WHOLE), most, cfg)
+    ends = _ends(small).unionByName(large).groupBy("row", "other").agg(F.max("jaccard").alias("jaccard"))
+    ends = store(ends, "candidate-ends")
+    kept = ends.select(F.col("row").alias("first"), F.col("other").alias("second"), "jaccard").join(_mutual(ends, most), ["first", "second"], "left_semi")
+    left, right = (made.select(F.col("row_id").alias(k), F.col("value").alias(v)) for k, v in (("first", "left"), ("second", "right")))
+    return store(kept.join(left, "first").join(right, "second").select("first", "second", "left", "right", "jaccard"), "candidate-pairs")
 
 
 def drawn_positions(n: int) -> list[int]:

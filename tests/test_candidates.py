@@ -100,3 +100,25 @@ def test_large_buckets_make_linear_pairs(spark):
     # In order of row_id here: the five behind in the bucket of all, and in that of every other row.
     assert few == {(i, i + d) for i in range(200) for d in (1, 2, 3, 4, 5, 6, 8, 10) if i + d < 200}
     assert {(r.a, r.b) for r in candidates.bucket_pairs(rows, 300).collect()} == {(r.a, r.b) for r in candidates.bucket_pairs(rows).collect()}
+
+
+@pytest.mark.parametrize("block", [1024, 50])
+def test_whole_large_buckets_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(candidates, "BLOCK", block)
+    # All trigrams of most rows are frequent, so that they share a bucket of far over 31 rows; some have words of their own.
+    kinds, stuff, ends = ["red", "large", "small ring"], ["widget", "bolt of steel steel", "plate"], ["economy", "promo", "standard polished brass", ""]
+    values = [f"{k} {s} | brand {n} | {e}" for k in kinds for s in stuff for n in range(8) for e in ends] + [f"{v} {i} {i * 7919 % 1000003}" for i, v in enumerate(E)]
+    rows = spark.createDataFrame(list(enumerate(values)), "row_id bigint, value string")
+    cfg = MinHashConfig(calibrate=False)
+    made = candidates.features(rows, candidates.noisy_grams(rows, len(values), cfg), cfg)
+    biggest = made.selectExpr("explode(keys) AS key").groupBy("key").count().agg({"count": "max"}).collect()[0][0]
+    assert biggest > 100 and biggest > candidates.WHOLE
+    alike = candidates.similar_pairs(made, candidates.bucket_pairs(made), cfg).collect()
+    near = {}
+    for r in alike:
+        near.setdefault(r.first, []).append((-r.jaccard, r.second))
+        near.setdefault(r.second, []).append((-r.jaccard, r.first))
+    best = {i: {j for _, j in sorted(found)[:30]} for i, found in near.items()}
+    want = {(r.first, r.second): (r.left, r.right, r.jaccard) for r in alike if r.second in best[r.first] and r.first in best[r.second]}
+    assert len(alike) > len(want) > 1000
+    assert {(r.first, r.second): (r.left, r.right, r.jaccard) for r in candidates.candidate_pairs(rows, cfg).collect()} == want
