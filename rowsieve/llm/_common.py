@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -15,21 +16,29 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from rowsieve.shipping import ship
 
-#: Lookup tables of at most this many rows may be broadcast; larger ones are joined by a salted shuffle.
+#: Lookup tables with columns of no fixed width may be broadcast up to this many rows; larger ones are joined by a salted shuffle.
 BROADCAST_ROWS = 20_000
 #: Copies of each row of a lookup table that is too large to broadcast.
 SALTS = 16
 #: Arrow batches of texts are cut in halves while they are larger than this.
 BATCH_CHARS = 4_000_000
 
+#: Bytes of a lookup table that may be broadcast.
+BROADCAST_BYTES = 32_000_000
+
 #: Folders made where spark.checkpoint.dir is unset, by application.
 _own: dict[str, str] = {}
+#: Paths of the tables that each settled() under way will delete, innermost last, by thread.
+_open = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset and all runs
+    on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="rowsieve-")
         _own[app] = folder
@@ -44,10 +53,54 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
+    if stack := getattr(_open, "stack", None):
+        stack[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, work: Callable[[], DataFrame], path: str) -> DataFrame:
+    """The result of work as a table at path. Tables that were materialized on the way are deleted, so what work gives
+    to others must not depend on them."""
+    stack = _open.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        df = work()
+        df.write.parquet(path)
+    finally:
+        for old in stack.pop():
+            delete(spark, old)
+    if stack:
+        stack[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's own filesystems."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns renamed by place, so that no other column clashes with them, and the new names by the old ones."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def fits_broadcast(small: DataFrame) -> bool:
+    """Whether a table has few enough rows and, at most, bytes; a fixed-width row is counted with what a hash table adds."""
+    fixed = all(f.dataType.simpleString() in ("bigint", "int", "double", "boolean", "date", "timestamp") for f in small.schema)
+    most = BROADCAST_BYTES // (24 + 8 * len(small.columns)) if fixed else BROADCAST_ROWS
+    if small.limit(most + 1).count() > most:
+        return False
+    if fixed:
+        return True
+    size = F.lit(0)
+    for f in small.schema:
+        size = size + F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+    return (small.agg(F.sum(size).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,11 +115,11 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 def lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], row_salt: Column, how: str = "inner") -> DataFrame:
     """Join big with a materialized lookup table on keys (null equals null), whatever the skew of big.
 
-    small is broadcast only when its counted rows are at most BROADCAST_ROWS. Otherwise each of its rows
+    small is broadcast only when its counted rows and bytes allow it (fits_broadcast). Otherwise each of its rows
     is copied SALTS times and big is dealt over the copies by row_salt, so a key that holds a third of
     all rows spreads over SALTS tasks."""
     names = {k: f"__{k}" for k in keys}
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits_broadcast(small):
         right = small.withColumnsRenamed(names)
         on = F.lit(True)
         for k in keys:

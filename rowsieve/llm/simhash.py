@@ -13,14 +13,6 @@ fingerprint are a node, named by their smallest key; nodes are linked where thei
   copies that no vantage point parts is solved by leaders. It leaves behind a spanning forest: at most one link a row,
   however many pairs a group has.
 
-The pipeline's stage, keep_one, links texts whose sets of five-word shingles have a Jaccard index of 0.8 or more, and finds
-its components exactly (similar_groups), without fingerprints. Equal sets are one node. Stars around the node of smallest name
-for each of a few MinHash values, each link checked on the sets, join most of what is alike at linear cost. What they leave
-apart meets by prefix filtering: with all shingles in one order, two sets of index t have one in common among the first
-n - ceil(t n) + 1 of each. Pairs of different components that meet so, and whose sizes and bitmaps of shingles allow t, are
-checked on the sets as well. The order puts shingles that a sample shows to be frequent last; with any order the links are
-the same. Shingles count by their 64-bit hashes.
-
 Components come from the forest by label propagation over written tables. The sample only shapes the tree; with any tree
 the links are the same. The top tree has at most 2 ** ``max_depth`` leaves, whatever the input.
 
@@ -32,7 +24,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,25 +59,6 @@ class SimHashConfig:
     seed: int = 42
 
 
-@dataclass(frozen=True)
-class JaccardConfig:
-    shingle: int = 5
-    #: Least Jaccard index of linked texts, in percent.
-    least: int = 80
-    #: MinHash values whose stars are checked first.
-    hashes: int = 8
-    #: Texts whose shingles are counted; those in frequent_from of them, the most frequent ones at most, come last in prefixes.
-    sample: int = 20_000
-    frequent_from: int = 4
-    frequent: int = 50_000
-    seed: int = 42
-
-
-#: Fingerprints of documents whose sets of five-word shingles have a Jaccard index of 0.8 or so: their shingles' cosine is then 0.89, and
-#: 256-bit fingerprints differ in 39 bits on average, with a deviation of 6; unrelated ones differ in 128. The trees go by
-#: fingerprints of single words, in which such pairs differ least.
-SIMILAR = SimHashConfig(shingle=1, radius=4, wide=4, leaf=8192, rounds=1)
-
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 #: Odd multipliers that make more hashes of one.
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
@@ -111,17 +84,17 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
 
 
-def _words(text: str | None) -> list[bytes]:
+def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []  # of bytes: A-Z and ASCII white space only
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The 64-bit fingerprint, unsigned."""
-    return majority(shingle_hashes(_words(text), shingle))
+    return majority(shingle_hashes(words_of(text), shingle))
 
 
-def _fingerprints(text: str | None, cfg: SimHashConfig) -> list[int]:
-    words = _words(text)
+def fingerprints_of(text: str | None, cfg: SimHashConfig) -> list[int]:
+    words = words_of(text)
     found = [majority(shingle_hashes(words, cfg.shingle))]
     if cfg.wide:
         hashes = shingle_hashes(words, cfg.wide_shingle)
@@ -137,7 +110,7 @@ def fingerprints(docs: DataFrame, cfg: SimHashConfig = SimHashConfig(), text: st
     names = ["fp", *(f"w{i}" for i in range(cfg.wide))]
 
     def work(texts: list[str | None]) -> list[np.ndarray]:
-        made = np.array([_fingerprints(x, cfg) for x in texts], dtype=np.uint64).reshape(len(texts), len(names))
+        made = np.array([fingerprints_of(x, cfg) for x in texts], dtype=np.uint64).reshape(len(texts), len(names))
         return [made[:, i].view(np.int64) for i in range(len(names))]
 
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
@@ -350,7 +323,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         edges = small
 
 
-def _named(nodes: DataFrame, found: DataFrame) -> DataFrame:
+def named(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """node, component_id and component of nodes (node, first_id) in the components found (node, component), or alone."""
     found = materialize(found.withColumnRenamed("node", "__node"), "simhash-components")
     linked = materialize(nodes.join(found, nodes["node"] == found["__node"]).select("node", "first_id", "component"), "simhash-linked")
@@ -368,185 +341,10 @@ def near_duplicates(docs: DataFrame, cfg: SimHashConfig = SimHashConfig(), text:
     # Keys may repeat over texts, so nodes are named by their fingerprints and take the smallest key at the end.
     names = ["node", "fp", *(f"w{i}" for i in range(cfg.wide))]
     nodes = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    classes = _named(nodes, components(links(nodes, cfg), "simhash-stars"))
+    classes = named(nodes, components(links(nodes, cfg), "simhash-stars"))
     return prints.join(classes, "node").select("doc_id", "text_hash", "fp", "component_id", "component")
 
 
-#: Columns of a set's bitmap.
-_MAP = ("b0", "b1", "b2", "b3")
-
-
-def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
-    """Distinct hashes of a text's shingles, in order."""
-    return np.unique(shingle_hashes(_words(text), size))
-
-
-def _described(text: str | None, cfg: JaccardConfig, odd: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """A name of the text's set, the set, its MinHash values and its bitmap."""
-    grams = shingle_set(text, cfg.shingle)
-    mixed = grams[None] * odd[:, None]
-    mixed = (mixed ^ mixed >> np.uint64(29)) * odd[:, None]
-    mins = mixed.min(1) ^ odd if len(grams) else np.zeros(0, dtype=np.uint64)
-    bits = np.zeros(64 * len(_MAP), dtype=np.uint8)
-    bits[(grams >> np.uint64(7)) % np.uint64(len(bits))] = 1
-    return xxhash.xxh64_intdigest(grams.tobytes(), 42), grams, mins, np.packbits(bits).view(np.uint64)
-
-
-def shingle_sets(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, text_hash, node (named by the set), size, grams (the set), mins and a bitmap, written to the shared folder."""
-    odd = np.random.default_rng(cfg.seed).integers(0, 2**64, cfg.hashes, dtype=np.uint64) | np.uint64(1)
-
-    def work(texts: list[str | None]) -> list:
-        made = [_described(x, cfg, odd) for x in texts]
-        maps = np.stack([m[3] for m in made]).view(np.int64) if made else np.zeros((0, len(_MAP)), dtype=np.int64)
-        lists = lambda at: pa.array([m[at].view(np.int64) for m in made], type=pa.list_(pa.int64()))
-        return [np.array([m[0] for m in made], dtype=np.uint64).view(np.int64), [len(m[1]) for m in made], lists(1), lists(2), *maps.T]
-
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
-    made = "node bigint, size int, grams array<bigint>, mins array<bigint>, " + ", ".join(f"{c} bigint" for c in _MAP)
-    return materialize(map_texts(rows, "text", ("doc_id", "text_hash"), made, work), "similar-sets")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """The pairs (a, b) whose sets reach the least index. Sizes and bitmaps come first: sets of n and m shingles reach t only
-    if at most (1 - t) / (1 + t) (n + m) shingles are in one of them, and bitmaps differ in no more places than that."""
-    end = lambda table, name, *cols: table.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
-    rows = pairs.join(end(nodes, "a", "size", *_MAP), "a").join(end(nodes, "b", "size", *_MAP), "b")
-    far = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _MAP), F.lit(0))
-    able = F.greatest("size_a", "size_b") * cfg.least <= F.least("size_a", "size_b") * 100
-    able = able & (far * (100 + cfg.least) <= (F.col("size_a") + F.col("size_b")) * (100 - cfg.least))
-    rows = materialize(rows.where(able).select("a", "b"), "similar-able")
-    asked = materialize(rows.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-asked")
-    grams = sets.select("node", "grams").join(asked, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
-    grams = materialize(grams, "similar-grams")
-    rows = rows.join(end(grams, "a", "grams"), "a").join(end(grams, "b", "grams"), "b")
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    union = F.size("grams_a") + F.size("grams_b") - common
-    return materialize(rows.where(common * 100 >= union * cfg.least).select("a", "b"), "similar-links")
-
-
-def frequent_shingles(sets: DataFrame, cfg: JaccardConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles frequent in a sample, in order, and how often they are there."""
-    share = min(1.0, cfg.sample / max(1, sets.count()))
-    chosen = sets.where(F.xxhash64(F.lit(cfg.seed), "doc_id", "node") / F.lit(2.0**64) + 0.5 <= share)
-    counts = chosen.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cfg.frequent_from)
-    found = np.array(sorted((r["g"] % 2**64, r["n"]) for r in counts.orderBy(F.col("n").desc(), "g").limit(cfg.frequent).collect()), dtype=np.uint64).reshape(-1, 2)
-    return found[:, 0], found[:, 1].astype(np.int64)
-
-
-def prefix(grams: np.ndarray, frequent: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
-    """The shingles of a set of which any set that reaches the least index has one in its own prefix."""
-    n = len(grams) - -(-len(grams) * least // 100) + 1 if len(grams) else 0
-    often = np.zeros(len(grams), dtype=np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        often = np.where(frequent[at] == grams, counts[at], 0)
-    return grams[np.lexsort((grams, often))[:n]]
-
-
-def _runs(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """work on tables of whole runs of equal keys, of batches in the order of key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            keys = batch.column("key").to_numpy()
-            if not len(keys):
-                continue
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if held and (cut or held[-1].column("key")[0].as_py() != keys[0]):
-                yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            elif cut:
-                yield from work(pa.Table.from_batches([batch.slice(0, cut)]))
-            held.append(batch.slice(cut))
-        if held:
-            yield from work(pa.Table.from_batches(held))
-
-    return run
-
-
-def _starts(keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-
-
-def _meetings(sets: DataFrame, nodes: DataFrame, joined: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that have a shingle of their prefixes in common, are in different components of joined
-    (node, component) and may reach the least index by their sizes and bitmaps."""
-    frequent, counts = frequent_shingles(sets, cfg)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = batch.column("grams")
-            flat, ends = grams.values.to_numpy().view(np.uint64), grams.offsets.to_numpy()
-            found = [prefix(flat[a:b], frequent, counts, cfg.least) for a, b in zip(ends[:-1], ends[1:])]
-            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            key = np.concatenate([np.zeros(0, dtype=np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("node").take(pa.array(at))], names=["key", "node"])
-
-    def shared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, node = rows.column("key").to_numpy(), rows.column("node").to_numpy()
-        starts = _starts(key)
-        several = np.minimum.reduceat(node, starts) != np.maximum.reduceat(node, starts)
-        yield from rows.filter(pa.array(np.repeat(several, np.diff([*starts, len(key)])))).to_batches()
-
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, node, part, size = (rows.column(c).to_numpy() for c in ("key", "node", "component", "size"))
-        maps, starts = np.stack([rows.column(c).to_numpy() for c in _MAP], axis=1).view(np.uint64), _starts(key)
-        several = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
-        a, b, n = [], [], 0
-        for first, end in zip(starts[several].tolist(), np.append(starts[1:], len(key))[several].tolist()):
-            for at in range(first, end, 256):
-                x, y = slice(at, min(at + 256, end)), slice(at, end)
-                both = size[x, None].astype(np.int64) + size[None, y]
-                able = (part[x, None] != part[None, y]) & (np.maximum(size[x, None], size[None, y]) * cfg.least <= np.minimum(size[x, None], size[None, y]) * 100)
-                far = sum(np.bitwise_count(maps[x, None, j] ^ maps[None, y, j]).astype(np.int64) for j in range(len(_MAP)))
-                i, j = np.nonzero(able & (far * (100 + cfg.least) <= both * (100 - cfg.least)))
-                one, other = node[x][i], node[y][j]
-                a.append(np.minimum(one, other))
-                b.append(np.maximum(one, other))
-                n += len(i)
-                if n > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                    a, b, n = [], [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    in_order = lambda rows: rows.repartition("key").sortWithinPartitions("key")
-    met = in_order(sets.select("node", "grams").mapInArrow(keys, "key bigint, node bigint")).mapInArrow(_runs(shared), "key bigint, node bigint")
-    met = materialize(met.distinct(), "similar-met")
-    rows = met.join(nodes.select("node", "size", *_MAP), "node").join(joined, "node", "left")
-    rows = rows.select("key", "node", F.coalesce("component", "node").alias("component"), F.col("size").cast("long"), *_MAP)
-    return materialize(in_order(rows).mapInArrow(_runs(pairs), "a bigint, b bigint").distinct(), "similar-meetings")
-
-
-def similar_groups(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, text_hash, component_id and component, as near_duplicates gives them, under links of the least index or more."""
-    sets = shingle_sets(docs, cfg, text, key)
-    nodes = materialize(sets.groupBy("node", "size", *_MAP).agg(F.min("doc_id").alias("first_id")), "similar-nodes")
-    mins = materialize(sets.select("node", F.explode("mins").alias("h")).distinct(), "similar-mins")
-    least = mins.groupBy("h").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "m")
-    stars = lookup(mins, materialize(least, "similar-least"), ["h"], F.col("node")).where("node <> m")
-    stars = materialize(stars.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct(), "similar-stars")
-    near = _similar(stars, sets, nodes, cfg)
-    joined = materialize(components(near, "similar-components"), "similar-joined")
-    near = near.unionByName(_similar(_meetings(sets, nodes, joined, cfg), sets, nodes, cfg))
-    classes = _named(nodes, components(near, "similar-components"))
-    return sets.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", "component_id", "component")
-
-
-def keep_one(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs, one for each component: that with the smallest key, null last, of rows with one key that of the
-    smallest text hash, and one of equal rows."""
-    rows = similar_groups(docs, cfg, text, key)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    # One key column, in which nulls are equal. The join and the removal of equal rows still shuffle the texts once each.
-    kept = rows.groupBy("component").agg(first.alias("x")).select(F.struct("x.doc_id", "x.text_hash").alias("__row"))
-    kept = materialize(kept.distinct(), "simhash-kept")
-    named = docs.withColumn("__row", F.struct(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash")))
-    return named.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

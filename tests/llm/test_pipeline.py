@@ -4,8 +4,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from rowsieve.llm import simhash
-from tests.llm.test_simhash import closed
+from tests.llm.test_simhash import closed, index
 
 SYLLABLES = {"en": "the and ing ion ent".split(), "de": "der und sch ein cht".split(), "fr": "les eau oir ché que".split()}
 
@@ -39,11 +38,8 @@ def test_stages(spark, folder):
     gone = {400, 401, 402}
     assert sorted(map(str, identified)) == sorted(str(r) for r in rows if r[0] not in gone)
     # One row of each component.
-    cfg = simhash.SIMILAR
-    fps = [simhash._fingerprints(r[1], cfg) for r in identified]
-    far = lambda a, b: ((a[0] ^ b[0]).bit_count(), sum((x ^ y).bit_count() for x, y in zip(a[1:], b[1:])))
-    near = [[j for j, b in enumerate(fps) if far(a, b)[0] <= cfg.radius and far(a, b)[1] <= cfg.wide_radius] for a in fps]
-    label, first = closed(len(fps), near), {}
+    near = [[j for j, b in enumerate(identified) if index(a[1], b[1]) >= 0.8] for a in identified]
+    label, first = closed(len(near), near), {}
     for r, g in zip(identified, label):
         mine = (r[0] is None, r[0] or 0, r[1])
         first[g] = min(first.get(g, mine), mine)

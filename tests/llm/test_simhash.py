@@ -124,27 +124,6 @@ def test_wide_fingerprints_decide(leaf):
     assert closed(len(rows), edges) == closed(len(rows), near)
 
 
-def test_similar_texts(spark):
-    rng = random.Random(8)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    odds = [1 / (i + 3) for i in range(3000)]  # as in prose, some words are frequent
-    base = [" ".join(rng.choices(vocabulary, odds, k=400)) for _ in range(60)]
-    rows, n = [(i, t) for i, t in enumerate(base)], 1000
-    for i, t in enumerate(base[:40]):
-        for _ in range(3):
-            words = t.split()
-            for at in rng.sample(range(400), 5):  # a Jaccard index of about 0.88
-                words[at] = rng.choices(vocabulary, odds)[0]
-            rows.append((n, " ".join(words)))
-            n += 1
-    half = base[50].split()[:200] + base[51].split()[200:]
-    rows.append((n, " ".join(half)))
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
-    assert set(range(60)) | {n} <= kept
-    assert len(kept) <= 61 + 6  # of 120 copies; in fewer than one of twenty single words differ in over four bits
-
-
 def test_large_groups_of_near_copies(spark):
     rng, centre = random.Random(3), 0x0123456789ABCDEF
     fps = {centre}
@@ -173,42 +152,3 @@ def index(a, b):
         sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
     union = len(sets[0] | sets[1])
     return len(sets[0] & sets[1]) / union if union else 1.0
-
-
-def test_similar_groups_against_brute_force(spark):
-    rng = random.Random(12)
-    vocabulary = [f"w{i}" for i in range(600)]
-    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    common, texts = words(40), [None, "", " ", "one", "ONE", "one two three four five", "one two three four five six"]
-    for i in range(50):
-        base = words(rng.randint(20, 200)) + common * (i % 3 == 0)
-        texts.append(" ".join(base))
-        for _ in range(4):
-            n, kind = len(base), rng.randrange(4)
-            cut = rng.randint(1, n // 6)
-            if kind == 0:  # changed words
-                edit = list(base)
-                for at in rng.sample(range(n), max(1, n // 60)):
-                    edit[at] = rng.choice(vocabulary)
-            elif kind == 1:
-                edit = base[cut:]
-            elif kind == 2:
-                edit = base[: n // 2] + words(cut) + base[n // 2 :]
-            else:
-                edit = base + words(cut)
-            texts.append(" ".join(edit))
-    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[9]), (None, texts[12])]
-    near = [[j for j, (_, b) in enumerate(rows) if index(a, b) >= 0.8] for _, a in rows]
-    want = closed(len(rows), near)
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    best = {}
-    for (i, _), g in zip(rows, want):
-        if i is not None:
-            best[g] = min(best.get(g, i), i)
-    # With few stars, nearly all must be found by prefixes.
-    for cfg in (simhash.JaccardConfig(), simhash.JaccardConfig(hashes=1, sample=20, frequent_from=2)):
-        got = simhash.similar_groups(docs, cfg).collect()
-        assert sorted((str(r.doc_id), r.component_id) for r in got) == sorted((str(i), best[g]) for (i, _), g in zip(rows, want))
-    assert 100 < sum(len(n) > 1 for n in near) < len(rows)
-    assert len({g for g in want}) == simhash.keep_one(docs).count()
-    assert simhash.keep_one(docs.limit(0)).count() == 0
