@@ -1,12 +1,17 @@
 """A training corpus from documents, in five stages. Each takes (spark, docs, sf_dir) and gives the next one's docs.
 
 1. language_id: documents whose language can't be told go.
-2. near_dedup: one document of each group of near-duplicates stays.
+2. near_dedup: one document of each group of near-duplicates (a Jaccard index of 0.8 or more on five-word shingles) stays.
 3. secret_scan: secrets in texts are replaced by a mark; n_chars follows.
 4. mixing: documents are drawn to the sources' target weights, some more than once.
 5. byte_bpe: texts become token ids.
 
-All columns of documents go through the first four stages.
+All columns of documents, others besides included, whatever their names, go through the first four stages.
+
+Nulls and edge cases: documents whose text is null, empty or without a letter go in stage 1, as their language can't be told. A null
+doc_id, lang or source is kept: null keys are one key, a null source is a source of its own. Of repeated rows, and of rows alike, one
+stays (stage 2); where keys tie, that with the smallest hash of its text. Very long texts are worked on whole. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsieve.llm import byte_bpe, language_id, mixing, secrets, simhash
-from rowsieve.llm._common import materialize, read_table
+from rowsieve.llm import byte_bpe, language_id, mixing, near_dedup, secrets
+from rowsieve.llm._common import delete, fresh_path, read_table, settled
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +29,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_dedup.keep_one(docs)
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages one after the other; what a stage has written goes as soon as the next one has."""
+    docs, path = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, path = path, fresh_path(spark, f"pipeline-{name}")
+        docs = settled(spark, lambda: stage(spark, docs, sf_dir), path)  # noqa: B023
+        if before:
+            delete(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
