@@ -185,9 +185,9 @@ class Reader:
 
 
 class WordEncoder:
-    """Encodes with a tokenizer that drops white space and case, and remembers the ids of words.
+    """Encodes as a tokenizer that drops white space and case does, special tokens in the text included, and remembers the ids of words.
 
-    No match of its pattern spans a blank, so words between blanks are encoded on their own. A word of Latin-1
+    Neither a match of its pattern nor a special token spans a blank, so words between blanks are encoded on their own. A word of Latin-1
     letters with ASCII symbols behind it is two matches, which the normalizer leaves as they are but for the case,
     so they can go to the tokenizer's BPE model directly."""
 
@@ -196,7 +196,6 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[str, bytes] = {}
         # The model's character for each byte: itself if printable, else one from 256 on, in order.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -233,9 +232,9 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2) -> DataFrame:
-    """Encode and write docs; the manifest has a row per shard: path, first_key, entries, n_ids.
+    """Encode and write docs; the manifest has a row per shard: path, first_key, last_key, entries, n_ids.
 
-    Task order is key order, and first_key orders the shards; equal keys lie in one task."""
+    Task order is key order. A key of very many rows is dealt over several tasks by a hash of the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, row, end = word_encoder(tokenizer), None, None, np.array([end_id], dtype="<u4")
@@ -245,7 +244,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
                 value, packed = value.as_py(), pack_key(k)
                 if writer and writer.ids >= SHARD_IDS:
                     writer.close()
-                    done.append((*row, len(writer.keys), writer.ids))
+                    done.append((*row, writer.keys[-1], len(writer.keys), writer.ids))
                     writer = None
                 if writer is None:
                     row = (f"{folder}/{uuid.uuid4().hex}.sst", packed)
@@ -253,9 +252,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
                 writer.add(packed, np.concatenate([encoder.encode(value), end]) if value else end)
         if writer:
             writer.close()
-            done.append((*row, len(writer.keys), writer.ids))
-        types = {"path": pa.string(), "first_key": pa.binary(), "entries": pa.int64(), "n_ids": pa.int64()}
-        columns = list(zip(*done)) or [[]] * 4
+            done.append((*row, writer.keys[-1], len(writer.keys), writer.ids))
+        types = {"path": pa.string(), "first_key": pa.binary(), "last_key": pa.binary(), "entries": pa.int64(), "n_ids": pa.int64()}
+        columns = list(zip(*done)) or [[]] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types.values())], names=list(types))
 
     ship(docs.sparkSession)
@@ -263,14 +262,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
     if local != folder or ":/" not in folder:  # a local or mounted folder; object stores have none to make
         pa.fs.LocalFileSystem().create_dir("/" + local.lstrip("/"))
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    rows = rows.repartitionByRange(rows["key"].asc_nulls_first()).sortWithinPartitions(rows["key"].asc_nulls_first())
-    return rows.mapInArrow(work, "path string, first_key binary, entries bigint, n_ids bigint")
+    first = rows["key"].asc_nulls_first()
+    rows = rows.repartitionByRange(first, F.xxhash64(rows["text"])).sortWithinPartitions(first)
+    return rows.mapInArrow(work, "path string, first_key binary, last_key binary, entries bigint, n_ids bigint")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
-    """Add start, the ids of all shards before. One row a shard, so this window is over metadata only; shards with one
-    first_key (repeats of a key that fill several) are in the order of their names."""
-    before = Window.partitionBy(F.lit(0)).orderBy("first_key", "path").rowsBetween(Window.unboundedPreceding, -1)
+    """Add start, the ids of all shards before. One row a shard, so this window is over metadata only; shards of one key
+    alone (that fills several) are in the order of their names, before one that goes on to other keys."""
+    before = Window.partitionBy(F.lit(0)).orderBy("first_key", "last_key", "path").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 

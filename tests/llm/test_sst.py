@@ -12,10 +12,11 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def test_words_encode_as_whole_texts():
     whole, mine, rng = Tokenizer.from_file(PATH), sst.WordEncoder(PATH), random.Random(1)
-    whole.encode_special_tokens = True
-    chars = "ab Éé'sS1 \n\t.,!<=\u0338e\u0301×÷ßµ\xa0\x1ć日本İ<|endoftext|>ﬁΣς"
+    chars = [*"ab Éé'sS1 \n\t\r.,!<≠é×÷ßµ\xa0\x85\x1c ć日本İﬁΣς|>", "<|endoftext|>", "<|startoftext|>", "<|endof", "Word "]
     texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
-    for text in [*texts, "<|endoftext|>", "a <|startoftext|> b", " ", "\n"]:
+    texts += ["".join(rng.choice(chars) for _ in range(20_000)), "word one, two. " * 7_000]
+    assert whole.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    for text in [*texts, "<|endoftext|>", "a <|startoftext|> b", "<|ENDOFTEXT|>", " ", "\n"]:
         assert mine.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
@@ -62,3 +63,14 @@ def test_documents(spark, tmp_path, monkeypatch):
         assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
         start += len(ids)
     assert sst.read_documents(sst.write_shards(docs.limit(0), f"file://{tmp_path}/none", PATH)).count() == 0
+
+
+def test_a_key_of_many_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sst, "SHARD_IDS", 50)
+    rows = [(7, f"word {i}") for i in range(300)] + [(i, "one two") for i in range(5)] + [(i, "x") for i in range(8, 12)] + [(None, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    manifest = sst.write_shards(docs, f"file://{tmp_path}/hot", PATH).cache()
+    assert sum(sst.unpack_key(bytes(r.first_key)) == 7 for r in manifest.collect()) > 3
+    got = sorted(sst.read_documents(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k))
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:])) and got[0].start == 0
