@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -117,7 +118,7 @@ _SHAPES = (
     re.compile(r".*\d,\d"),
     re.compile(r"[$€£#]"),
     re.compile(r".*%"),
-    re.compile(r"(?:\D*\d{1,3}\D+){3}\d{1,3}(?:\D|\Z)"),
+    None,  # begins with four groups of at most three digits, see _quad
     re.compile(r"\W*\d{4}-\d{2}-\d{2}|\W*\d{1,2}[/.]\d{1,2}[/.]\d{2,4}\W*\Z"),
     re.compile(r".*[A-Za-z]"),
 )
@@ -126,6 +127,12 @@ _N = len(_BUCKETS) - 1
 FEATURES = 1 + len(_SHAPES) + 2 * _N + len(CUES) + 3
 
 
+def _quad(word: str) -> list[str]:
+    """The first four groups of digits, if these are of three digits at most."""
+    groups = [m[0] for m in itertools.islice(re.finditer("[0-9]+", word), 4)]
+    return groups if len(groups) == 4 and all(len(g) <= 3 for g in groups) else []
+
+
 def _bucket(n: int) -> int:
     return next(i for i in range(_N) if n < _BUCKETS[i + 1])
 
@@ -146,7 +153,8 @@ def tokens_of(text: str, spans: list[Span]) -> list[Token]:
         joined = last_end >= 0
         digits = _NOT_DIGIT.sub("", word)
         run = (run if joined else "") [-32:] + digits
-        features = [0, *(1 + i for i, shape in enumerate(_SHAPES) if shape.match(word))]
+        quad = _quad(word)
+        features = [0, *(1 + i for i, shape in enumerate(_SHAPES) if (shape.match(word) if shape else quad))]
         base = 1 + len(_SHAPES)
         features += [base + _bucket(len(digits)), base + _N + _bucket(len(run))]
         base += 2 * _N
@@ -157,9 +165,8 @@ def tokens_of(text: str, spans: list[Span]) -> list[Token]:
         features += [base + 1] if 13 <= len(run) <= 19 and luhn(run) else []
         features += [base + 2] if joined else []
         keys = [f"d{run[-7:]}"] if len(run) >= 7 else []
-        groups = re.findall("[0-9]+", word)
-        if len(groups) >= 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups[:4]):
-            keys.append("q" + ".".join(groups[:4]))
+        if quad and all(int(g) <= 255 for g in quad):
+            keys.append("q" + ".".join(quad))
         local = re.split(r"@|" + _AT.pattern, word)[0].lower().lstrip("(<[\"'")
         if len(local) < len(word) and len(local) >= 3:
             keys.append(f"l{local}")
@@ -321,8 +328,8 @@ def _plausible(kind: int, text: str) -> bool:
     if kind == 0:
         return "@" in text or bool(_AT.search(text))
     if kind == 1:
-        groups = re.findall("[0-9]+", text)
-        return len(groups) >= 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups[:4])
+        quad = _quad(text)
+        return bool(quad) and all(int(g) <= 255 for g in quad)
     return (13 <= len(digits) <= 19 and luhn(digits)) if kind == 2 else 7 <= len(digits) <= 15
 
 

@@ -40,6 +40,8 @@ def test_long_runs_take_linear_time():
     began = time.time()
     for unit in ("a", "1", "1.", "a@", "+1 ", "@", "1 ", "12345678 "):
         pii.find(unit * 100_000, pii.fitted())
+    for word in ("1" + "a" * 1_000_000, "字1" + "字" * 1_000_000, "1a" * 300_000, "1.2.3" + "x" * 500_000 + "4"):
+        pii.find(word, pii.fitted())
     assert time.time() - began < 60
 
 
