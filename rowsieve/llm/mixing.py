@@ -152,8 +152,9 @@ def plan_mix(sized: DataFrame, cfg: MixConfig = MixConfig()) -> MixPlan:
 
 def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), places: bool = True) -> DataFrame:
     """The mix itself: each row of docs (doc_id, text, source, ...) as often as it is drawn, with its columns and, with
-    places, mix_shard (its output shard) and mix_order (its place in the shard's local shuffle)."""
-    row = F.struct(*docs.columns).alias("__row")
+    places, mix_shard (its output shard) and mix_order (its place in the shard's local shuffle) in place of columns of docs that
+    have these names."""
+    row = F.struct(*[c for c in docs.columns if not places or c not in ("mix_shard", "mix_order")]).alias("__row")
     rows = plan_mix(measure(docs), cfg).decide(docs.select(row, "doc_id", "source"))
     rows = rows.select("__row", F.posexplode("shards").alias("__copy", "__shard"))
     order = _hash(cfg, "local", F.col("__row.doc_id"), "__copy", "__shard")

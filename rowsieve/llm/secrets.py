@@ -17,12 +17,13 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsieve.llm._common import lookup, materialize, read_table
+from rowsieve.llm._common import by_place, lookup, materialize, read_table
 
 #: The base kinds in order, each with its pattern and the group that holds the value.
 BASE = (
@@ -51,18 +52,41 @@ class SecretConfig:
     distinct_chars: int = 8
 
 
-def _running(values: Column) -> Column:
-    """Sums of all values before each one. In chunks, as appending to an array copies it."""
-    chunk = 256
-    step = lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), (acc["at"] + x).alias("at"))
+#: Elements of an array that are folded at once.
+_CHUNK = 256
+
+
+def _with(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once, not at each place where f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _chunks(xs: Column) -> Column:
+    """xs, which should be a column or a variable, in pieces."""
+    whole = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _CHUNK).cast("int"))
+    return F.when(F.size(xs) > 0, F.transform(whole, lambda c: F.slice(xs, c * _CHUNK + 1, F.lit(_CHUNK))))
+
 
-    def sums(xs: Column, start: Column) -> Column:
-        zero = F.struct(F.array().cast("array<bigint>").alias("out"), start.cast("bigint").alias("at"))
-        return F.aggregate(xs, zero, step)["out"]
+def _folded(xs: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What step(state, x) -> (new state, output) puts out for each element in turn, outputs being of the DDL type kind. In
+    chunks, as appending to an array copies it."""
+    none = lambda t: F.array().cast(f"array<{t}>")
 
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / chunk).cast("int")), lambda c: F.slice(values, c * chunk + 1, F.lit(chunk)))
-    totals = F.transform(chunks, lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x))
-    return F.flatten(F.zip_with(chunks, sums(totals, F.lit(0)), sums))
+    def one(acc: Column, x: Column) -> Column:
+        after, out = step(acc["at"], x)
+        return F.struct(F.concat(acc["out"], F.array(out)).alias("out"), after.alias("at"))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(none(kind).alias("out"), acc["at"].alias("at")), one)
+        return _with(done, lambda d: F.struct(F.concat(acc["out"], F.array(d["out"])).alias("out"), d["at"].alias("at")))
+
+    zero = F.struct(none(f"array<{kind}>").alias("out"), state.alias("at"))
+    return F.coalesce(_with(xs, lambda v: F.flatten(F.aggregate(_chunks(v), zero, chunk)["out"])), none(kind))
+
+
+def _running(values: Column) -> Column:
+    """Sums of all values before each one."""
+    return _folded(values, F.lit(0).cast("bigint"), lambda at, x: (at + x, at), "bigint")
 
 
 def _found(df: DataFrame, kind: str, pattern: str, group: int) -> DataFrame:
@@ -128,35 +152,60 @@ def scan(docs: DataFrame, cfg: SecretConfig = SecretConfig(), text: str = "text"
     return spans.unionByName(none, allowMissingColumns=True)
 
 
+_SPAN = "struct<start:bigint,rank:bigint,end:bigint,kind:string,live:boolean,value:string>"
+
+
 def _without_overlaps(spans: Column) -> Column:
-    """Base spans, and those further ones that overlap no base span and no further one of an earlier kind or place."""
-    base_kinds = F.array(*[F.lit(k) for k, _, _ in BASE])
-    base = F.filter(spans, lambda x: F.array_contains(base_kinds, x["kind"]))
-    further = F.filter(_order(spans), lambda x: ~F.array_contains(base_kinds, x["kind"]))
-    clash = lambda x, ys: F.exists(ys, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    return F.aggregate(further, _order(base), lambda acc, x: F.when(clash(x, acc), acc).otherwise(F.concat(acc, F.array(x))), lambda acc: F.array_sort(acc))
+    """Base spans, and those further ones that overlap no base span and no further one of an earlier kind or place. Two
+    passes: one back, for the next base span behind each, one on, with the end of what is kept."""
+    is_base = lambda x: x["rank"] <= len(BASE)
+    far = F.lit(2**62)
+
+    def back(at: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(is_base(x), x["start"]).otherwise(at), F.struct(x.alias("x"), at.alias("next"))
+
+    def on(at: Column, y: Column) -> tuple[Column, Column]:
+        x = y["x"]
+        kept = is_base(x) | ((x["start"] >= at) & (x["end"] <= y["next"]))
+        return F.when(kept, F.greatest(at, x["end"])).otherwise(at), F.when(kept, x)
+
+    seen = F.reverse(_folded(F.reverse(_order(spans)), far, back, f"struct<x:{_SPAN},next:bigint>"))
+    return F.filter(_folded(seen, F.lit(0).cast("bigint"), on, _SPAN), lambda x: x.isNotNull())
 
 
 def joined(spans: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","), F.lit(""))
 
 
+def _masked(text: Column, spans: Column, mark: str) -> Column:
+    """text with each of spans, in order of start, replaced by mark. Overlapping spans are one."""
+
+    def gap(at: Column, x: Column) -> tuple[Column, Column]:
+        here = F.when(x["start"] >= at, F.struct(at.alias("at"), x["start"].alias("to"), x["end"].alias("end")))
+        return F.greatest(at, x["end"]), here
+
+    gaps = F.filter(_folded(spans, F.lit(0).cast("bigint"), gap, "struct<at:bigint,to:bigint,end:bigint>"), lambda x: x.isNotNull())
+    cut = lambda t, a, b: F.substr(t, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def pieces(part: Column) -> Column:
+        # A piece of the text for each chunk, as the places of code points are counted from the start.
+        whole = cut(text, part[0]["at"], F.element_at(part, -1)["to"])
+        return _with(whole, lambda t: F.array_join(F.transform(part, lambda x: F.concat(cut(t, x["at"] - part[0]["at"], x["to"] - part[0]["at"]), F.lit(mark))), ""))
+
+    end = F.array_max(F.transform(spans, lambda x: x["end"]))
+    return F.concat(_with(gaps, lambda v: F.array_join(F.transform(_chunks(v), pieces), "")), F.substr(text, (end + 1).cast("int")))
+
+
 def redact(docs: DataFrame, cfg: SecretConfig = SecretConfig(), text: str = "text", key: str = "doc_id", owner: str = "source", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of its text replaced by mark. Overlapping spans are one."""
-    rows = scan(docs, cfg, text, key, owner, key).where("spans is not null").dropDuplicates(["doc_id", "text_hash"])
-    rows = materialize(rows.select(F.col("doc_id").alias("__key"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")), "secret-spans")
-    hashed = docs.withColumn("__text_hash", F.xxhash64(docs[text]))
-    joined_rows = hashed.join(rows, hashed[key].eqNullSafe(rows["__key"]) & (hashed["__text_hash"] == rows["__hash"]), "left")
-
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.substr(F.col(text), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        new = F.when(x["start"] >= acc["at"], F.concat(acc["out"], piece, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(new.alias("out"), F.greatest(acc["at"], x["end"].cast("int")).alias("at"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1)))
-    clean = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(done)
-    return joined_rows.withColumn(text, clean).select(*docs.columns)
+    """docs with every span of its text replaced by mark. Overlapping spans are one; other columns, whatever their names, are untouched."""
+    rows, names = by_place(docs)
+    text, key, owner = names[text], names[key], names[owner]
+    found = scan(rows, cfg, text, key, owner, key).where("spans is not null").dropDuplicates(["doc_id", "text_hash"])
+    found = materialize(found, "secret-spans")
+    rows = rows.withColumn("text_hash", F.xxhash64(text))
+    rows = rows.join(found, rows[key].eqNullSafe(found["doc_id"]) & (rows["text_hash"] == found["text_hash"]), "left")
+    clean = F.when(F.size("spans") > 0, _masked(F.col(text), F.col("spans"), mark)).otherwise(F.col(text))
+    return rows.withColumn(text, clean).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

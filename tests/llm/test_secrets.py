@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 
 from pyspark.sql import functions as F
@@ -49,3 +50,30 @@ def test_running_sums(spark):
     df = spark.createDataFrame([(values,), ([5],)], "v array<bigint>")
     got = [r[0] for r in df.select(secrets._running(F.col("v"))).collect()]
     assert got == [[sum(values[:i]) for i in range(1000)], [0]]
+
+
+def test_spans_that_overlap(spark):
+    rng, kinds = random.Random(3), secrets.KINDS
+    rows = [[(kind, a, a + rng.randint(1, 12), "v", True) for kind, a in ((rng.choice(kinds), rng.randint(0, 900)) for _ in range(rng.choice([0, 1, 5, 40, 700])))] for _ in range(60)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s array<struct<kind:string,start:bigint,end:bigint,value:string,live:boolean>>")
+    for r in df.select("i", secrets._without_overlaps(F.col("s")).alias("got")).collect():
+        every = sorted((a, kinds.index(k) + 1, b, k) for k, a, b, _, _ in rows[r.i])
+        want = [x for x in every if x[1] <= 3]
+        for x in every:
+            if x[1] > 3 and not any(x[0] < y[2] and y[0] < x[2] for y in want):
+                want.append(x)
+        assert [tuple(x)[:4] for x in r.got] == sorted(want)
+
+
+def test_redact_many_spans_and_clashing_columns(spark):
+    text = "é " + "".join(f"token={i:08d}x 🙂 " for i in range(20_000))
+    rows = [(1, text, "s", "a", 1), (1, text, "s", "b", 2), (None, "my token=abcdefgh, and é", None, None, None), (2, None, "s", "c", 3), (3, "", "s", "d", 4), (4, "nothing", "s", "e", 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, spans string, text_hash int").select("spans", "text", "doc_id", "source", "text_hash")
+    began = time.time()
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns
+    found = sorted(map(tuple, got.collect()), key=str)
+    assert time.time() - began < 60
+    clean = "é " + "[SECRET] 🙂 " * 20_000
+    want = [("a", clean, 1, "s", 1), ("b", clean, 1, "s", 2), (None, "my [SECRET], and é", None, None, None), ("c", None, 2, "s", 3), ("d", "", 3, "s", 4), ("e", "nothing", 4, "s", 5)]
+    assert found == sorted(want, key=str)
