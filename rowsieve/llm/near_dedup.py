@@ -353,11 +353,12 @@ def keep_one(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), text: str =
     """The rows of docs, one for each component: that with the smallest key, null last, of rows with one key that of the
     smallest text hash, and one of equal keys and texts."""
     groups = similar_groups(docs, cfg, text, key)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    # One key column, in which nulls are equal. The join and the removal of equal rows share one shuffle of the texts.
-    kept = groups.groupBy("component").agg(first.alias("x")).select(F.struct("x.doc_id", "x.text_hash").alias("row"))
-    kept = materialize(kept.distinct(), "near-kept")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("r0"), F.coalesce("doc_id", F.lit(0)).alias("r1"), F.col("text_hash").alias("r2")))
+    on = ["r0", "r1", "r2"]
+    kept = materialize(groups.groupBy("component").agg(first.alias("x")).select("x.*").distinct(), "near-kept")
     rows, names = by_place(docs)
-    rows = rows.withColumn("row", F.struct(F.col(names[key]).cast("long").alias("doc_id"), F.xxhash64(names[text]).alias("text_hash")))
-    rows = rows.join(kept, "row", "left_semi").dropDuplicates(["row"])
+    k = F.col(names[key]).cast("long")
+    rows = rows.withColumn("r0", k.isNull()).withColumn("r1", F.coalesce(k, F.lit(0))).withColumn("r2", F.xxhash64(names[text]))
+    # The join and the removal of equal rows share one shuffle of the texts.
+    rows = rows.join(kept, on, "left_semi").dropDuplicates(on)
     return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
