@@ -61,11 +61,3 @@ def jaccard_at_least_half(a: Column, b: Column) -> Column:
     common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
     whole = F.size(a) + F.size(b) - common
     return (whole > 0) & (common * 2 >= whole)
-
-
-def edits_above_one(a: Column, b: Column) -> Column:
-    return F.levenshtein(a, b, 1) == -1
-
-
-def lengths_near(a: Column, b: Column) -> Column:
-    return F.abs(F.length(a) - F.length(b)) <= 2

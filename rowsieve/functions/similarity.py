@@ -1,15 +1,11 @@
-"""Similarity of two texts, from 0 to 1. All but Jaro-Winkler are Column expressions."""
+"""Similarity of two texts, from 0 to 1, as Column expressions. Edit distances and Jaro-Winkler need latin.register."""
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from rowsieve.functions import latin
 from rowsieve.functions.normalize import trim_control
 
 
@@ -30,64 +26,12 @@ def levenshtein(left: Column, right: Column) -> Column:
     a, b = (trim_control(F.replace(F.coalesce(x, F.lit("")), F.lit("|"), F.lit(""))) for x in (left, right))
     longer = F.greatest(F.length(a), F.length(b))
     limit = F.ceil(longer * F.lit(0.7)).cast("int")
-    distance = F.levenshtein(a, b)
-    score = F.lit(1.0) - distance / longer
-    # Short of its left text's whole length a distance to the empty prefix is enough.
-    near = (F.length(a) <= limit) | F.exists(F.sequence(F.lit(0), F.length(b)), lambda j: F.levenshtein(a, F.left(b, j)) <= limit)
-    return (
-        F.when((a == "") | (b == "") | (F.abs(F.length(a) - F.length(b)) > limit), F.lit(0.0))
-        .when(distance <= limit, score)
-        .when(near, score)
-        .otherwise(F.lit(0.0))
-    )
-
-
-def _blank(text: str) -> str:
-    return text.strip("".join(map(chr, range(33))))
-
-
-def _equal_but_case(a: str, b: str) -> bool:
-    return len(a) == len(b) and all(x == y or x.upper() == y.upper() or x.lower() == y.lower() for x, y in zip(a, b))
-
-
-def jaro_winkler_pair(left: str | None, right: str | None) -> float:
-    """Jaro's similarity, raised by a common prefix of up to four characters; 0 if one text is twice as long."""
-    if left is None or right is None:
-        return float(left is None and right is None)
-    a, b = _blank(left), _blank(right)
-    if not a or not b:
-        return float(not a and not b)
-    if _equal_but_case(a, b):
-        return 1.0
-    longer = max(len(a), len(b))
-    if abs(len(a) - len(b)) * 2 > longer:
-        return 0.0
-    reach = max(longer // 2 - 1, 0)
-    # Free places of each character in b, in order. A place behind the window stays behind it.
-    free: dict[str, deque[int]] = defaultdict(deque)
-    for j, c in enumerate(b):
-        free[c].append(j)
-    partners: list[tuple[str, int]] = []
-    for i, c in enumerate(a):
-        places = free[c] if c in free else None
-        while places and places[0] < i - reach:
-            places.popleft()
-        if places and places[0] <= i + reach:
-            partners.append((c, places.popleft()))
-    m = len(partners)
-    if not m:
-        return 0.0
-    in_order = [b[j] for j in sorted(j for _, j in partners)]
-    moved = sum(c != d for (c, _), d in zip(partners, in_order))
-    jaro = (m / len(a) + m / len(b) + (m - moved / 2) / m) / 3
-    prefix = next((i for i in range(min(4, len(a), len(b))) if a[i] != b[i]), min(4, len(a), len(b)))
-    return min(1.0, max(0.0, jaro + prefix * 0.1 * (1 - jaro)))
-
-
-def _series(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter(map(jaro_winkler_pair, left, right), dtype=np.float64, count=len(left)))
+    # -1 where even the best prefix of the right text is too far.
+    distance = latin.edits(a, b, limit)
+    empty = (a == "") | (b == "") | (F.abs(F.length(a) - F.length(b)) > limit)
+    return F.when(empty | (distance < 0), F.lit(0.0)).otherwise(F.lit(1.0) - distance / longer)
 
 
 def jaro_winkler(left: Column | str, right: Column | str) -> Column:
-    """By batches of rows in the Python workers: matching marks characters, which no expression does."""
-    return F.pandas_udf(_series, T.DoubleType())(left, right)
+    col = lambda x: F.col(x) if isinstance(x, str) else x
+    return latin.jaro_winkler(col(left), col(right))

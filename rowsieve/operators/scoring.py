@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.config import ScoreConfig
 from rowsieve.functions import similarity
+from rowsieve.functions.latin import register
 from rowsieve.shipping import ship
 
 #: Scores pairs of texts; runs in the Python workers, so it must pickle.
@@ -28,16 +29,10 @@ def no_scorer(pairs: list[tuple[str, str]]) -> list[float]:
 
 
 def scored(pairs: DataFrame, cfg: ScoreConfig = ScoreConfig(), extra: Mapping[str, tuple[float, Scorer]] | None = None) -> DataFrame:
-    """pairs (..., left, right) with token, lev, jw, weighted and max_len.
-
-    With the usual weights a pair without a common token can't pass fast_reject, so such pairs are dropped before the
-    costlier scores, as they would be after."""
-    ship(pairs.sparkSession)
+    """pairs (..., left, right) with token, lev, jw, weighted and max_len. All of it runs in the JVM."""
+    register(pairs.sparkSession)
     left, right = F.col("left"), F.col("right")
     rows = pairs.withColumn("token", similarity.token_set(left, right))
-    beyond = cfg.lev_weight + cfg.jw_weight + sum(w for w, _ in (extra or {}).values())
-    if beyond <= cfg.fast_reject:
-        rows = rows.where("token > 0")
     rows = rows.withColumn("lev", similarity.levenshtein(left, right))
     rows = rows.withColumn("jw", similarity.jaro_winkler(left, right))
     weighted = F.lit(cfg.token_weight) * F.col("token") + F.lit(cfg.lev_weight) * F.col("lev") + F.lit(cfg.jw_weight) * F.col("jw")

@@ -36,7 +36,7 @@ class Duplicates:
 
     @property
     def counters(self) -> DataFrame:
-        """stage and n. Pairs that a common token rules out early are not among them."""
+        """stage and n: pairs by route, undecided ones that the scorer confirmed, and rows in exact groups."""
         by_route = self.scored.groupBy(F.col("route").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
         by_neural = self.scored.where("neural_confirm").agg(F.count(F.lit(1)).alias("n")).select(F.lit("neural_confirm").alias("stage"), "n")
         exact_rows = self.groups.where("group_size > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit("exact_rows").alias("stage"), "n")

@@ -423,12 +423,37 @@ def levenshtein_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return value_pairs(name_values(spark, sf_dir)).select("first", "second", F.round(similarity.levenshtein(F.col("left"), F.col("right")), 9).alias("score"))
 
 
-@query()
+JARO = """
+pair AS (SELECT *, greatest(greatest(length(l), length(r)) // 2 - 1, 0) AS reach FROM pairs),
+step AS (
+    SELECT *, 0::BIGINT AS i, []::BIGINT[] AS taken, '' AS hits FROM pair
+    UNION ALL
+    SELECT first, second, l, r, reach, i + 1, CASE WHEN j IS NULL THEN taken ELSE list_append(taken, j) END, CASE WHEN j IS NULL THEN hits ELSE hits || substr(l, i + 1, 1) END
+    FROM (SELECT *, list_min(list_filter(range(greatest(1, i + 1 - reach), least(length(r), i + 1 + reach) + 1), lambda p: substr(r, p, 1) = substr(l, i + 1, 1) AND NOT list_contains(taken, p))) AS j
+        FROM step WHERE i < length(l))
+),
+matched AS (SELECT *, len(taken) AS m, list_sum(list_transform(range(1, len(taken) + 1), lambda k: CASE WHEN substr(hits, k, 1) <> substr(r, list_sort(taken)[k], 1) THEN 1 ELSE 0 END)) AS moved FROM step WHERE i = length(l)),
+jaro AS (SELECT *, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE (m / length(l)::DOUBLE + m / length(r)::DOUBLE + (m - moved / 2.0::DOUBLE) / m) / 3 END AS jaro,
+    list_min(list_filter(range(1, 6), lambda k: k > least(4, length(l), length(r)) OR substr(l, k, 1) <> substr(r, k, 1))) - 1 AS prefix FROM matched),
+winkler AS (SELECT first, second, l, r, CASE WHEN lower(l) = lower(r) THEN 1.0::DOUBLE WHEN abs(length(l) - length(r)) * 2 > greatest(length(l), length(r)) THEN 0.0::DOUBLE
+    ELSE least(1.0::DOUBLE, jaro + prefix * 0.1::DOUBLE * (1 - jaro)) END AS jw FROM jaro)"""
+WEIGHTED = f"""
+{JARO},
+t AS (SELECT *, {WORDS.format('l')} AS a, {WORDS.format('r')} AS b, greatest(length(l), length(r)) AS longer, ceil(greatest(length(l), length(r)) * 0.7::DOUBLE) AS most, levenshtein(l, r) AS d FROM winkler),
+s AS (SELECT *, CASE WHEN len(list_intersect(a, b)) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) END AS token,
+    CASE WHEN abs(length(l) - length(r)) > most THEN 0.0::DOUBLE
+        WHEN d <= most OR list_min(list_transform(range(0, length(r) + 1), lambda j: CASE WHEN j = 0 THEN length(l) ELSE levenshtein(l, left(r, j)) END)) <= most THEN 1 - d / longer::DOUBLE ELSE 0.0::DOUBLE END AS lev FROM t),
+weighted AS (SELECT first, second, l, r, longer::INTEGER AS max_len, 0.6::DOUBLE * token + 0.25::DOUBLE * lev + 0.1::DOUBLE * jw AS weighted FROM s),
+routed AS (SELECT *, CASE WHEN weighted <= CASE WHEN max_len < 15 THEN 0.15::DOUBLE ELSE 0.25::DOUBLE END THEN 'hard_reject'
+    WHEN weighted >= CASE WHEN max_len < 30 THEN 0.65::DOUBLE ELSE 0.55::DOUBLE END THEN 'confirm' WHEN weighted > 0.35::DOUBLE THEN 'neural' ELSE 'drop' END AS route FROM weighted)"""
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {JARO} SELECT first, second, round(jw, 9) AS score FROM winkler")
 def jaro_winkler_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return value_pairs(name_values(spark, sf_dir)).select("first", "second", F.round(similarity.jaro_winkler("left", "right"), 9).alias("score"))
 
 
-@query()
+@query(f"WITH RECURSIVE {PAIRS}, {WEIGHTED} SELECT first, second, round(weighted, 9) AS weighted, max_len FROM weighted")
 def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scored(value_pairs(name_values(spark, sf_dir))).select("first", "second", F.round("weighted", 9).alias("weighted"), "max_len")
 
@@ -444,10 +469,24 @@ def route_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", scoring.route(F.col("w"), F.col("len")).alias("route"), scoring.neural_confirmed(F.col("w"), F.col("len")).alias("neural_confirm"))
 
 
-@query()
+@query(f"WITH RECURSIVE {PAIRS}, {WEIGHTED} SELECT route, count(*) AS n FROM routed GROUP BY route")
+def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scoring.routed(scoring.scored(value_pairs(name_values(spark, sf_dir))))
+    return rows.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+
+
+def length_scorer(pairs: list[tuple[str, str]]) -> list[float]:
+    """A stand-in for a model: the shorter length by the longer."""
+    return [min(len(a), len(b)) / max(len(a), len(b)) for a, b in pairs]
+
+
+@query(f"""
+WITH RECURSIVE {PAIRS}, {WEIGHTED}
+SELECT first, second, round(least(length(l), length(r)) / max_len::DOUBLE, 9) AS neural,
+    least(length(l), length(r)) / max_len::DOUBLE >= CASE WHEN max_len < 20 THEN 0.65::DOUBLE ELSE 0.78::DOUBLE END AS neural_confirm FROM routed WHERE route = 'neural'""")
 def neural_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scoring.routed(scoring.scored(value_pairs(name_values(spark, sf_dir)))).where("route = 'neural'")
-    return scoring.with_neural(rows, scoring.no_scorer).select("first", "second", "neural", "neural_confirm")
+    return scoring.with_neural(rows, length_scorer).select("first", "second", F.round("neural", 9).alias("neural"), "neural_confirm")
 
 
 @query()
