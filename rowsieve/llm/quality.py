@@ -6,8 +6,8 @@ mean word length (too short, too long). A cutoff rejects the documents whose sco
 them: the holdout) decide the cutoffs, stratum by stratum:
 
 * Candidate cutoffs are the fixed edges of a grid, the same for all data.
-* A cutoff is safe if the exact (Clopper-Pearson) upper bound of its false rejections, the share of good documents of the
-  stratum that it rejects, is at most ``max_false_rejection``. Each bound holds at confidence
+* A cutoff is safe if the exact (Clopper-Pearson) upper bound of its false rejections, the share of those good documents of
+  the stratum that pass the base rules which it rejects, is at most ``max_false_rejection``. Each bound holds at confidence
   1 - alpha / (strata * rules * edges), so by Bonferroni all chosen cutoffs are safe at once with confidence 1 - alpha.
 * The rules of a stratum share the allowance equally, so the union of their rejections stays within it.
 * Of the safe cutoffs that reject mostly bad documents, the highest is taken that rejects nearly as many bad ones as any;
@@ -17,8 +17,10 @@ The histograms are sums over all labelled documents, at most rules * (edges + 1)
 calibrated on its own in a task. Texts are never shuffled.
 
 Nulls and edge cases: null and empty texts have no words, fail the base rules and aren't kept; a null stratum is a
-stratum of its own; documents of a stratum without safe cutoffs face the base rules only; labels that are null, repeated, or without a document count as what they
-join; without labels every rule is off; an empty table gives an empty result; other columns are ignored.
+stratum of its own; documents of a stratum without safe cutoffs face the base rules only; labels that are null or
+without a document don't count; a document with several labels counts once, as bad if any of them says so; equal rows of
+one doc_id count once, different texts of one doc_id each have its label; without labels every rule is off; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from rowsieve.llm._common import lookup, map_texts, materialize, read_table
 from rowsieve.shipping import ship
 
 RULES = ("symbols", "repeats", "dup_lines", "long_words", "short_words")
+#: What is measured of each text.
+NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Grid edges of each score. A score is in the bin of the number of edges that it exceeds.
 EDGES = {
     "symbols": [0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0],
@@ -132,14 +136,20 @@ def _bin(rule: str, score: F.Column) -> F.Column:
     return sum((score > e).cast("int") for e in EDGES[rule])
 
 
+def labelled(measured: DataFrame, labels: DataFrame, stratum: str, cfg: QualityConfig = QualityConfig()) -> DataFrame:
+    """The holdout: stratum, numbers and quality of the labelled documents. Each counts once, as the binomial bound takes it."""
+    labels = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    # Documents that fail the base rules are gone anyway and say nothing about the learnt ones.
+    kept = measured.where(~base_failed(cfg)).select("doc_id", stratum, *NUMBERS)
+    return kept.join(labels, "doc_id").dropDuplicates()
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, cfg: QualityConfig = QualityConfig()) -> DataFrame:
     """One row per stratum: stratum and a cutoff per rule (null: off). measured has doc_id, the numbers and stratum;
     labels has doc_id and quality (1: good, 0: bad)."""
     ship(measured.sparkSession)
-    # Documents that fail the base rules are gone anyway and say nothing about the learnt ones.
-    kept = measured.where(~base_failed(cfg))
     bins = F.array(*[F.struct(F.lit(r).alias("rule"), _bin(r, s).alias("bin")) for r, s in scores().items()])
-    rows = kept.join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
+    rows = labelled(measured, labels, stratum, cfg)
     counts = rows.select(F.col(stratum).alias("stratum"), "quality", F.explode(bins).alias("x")).groupBy("stratum", "x.rule", "x.bin")
     counts = counts.agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") != 1).cast("long")).alias("bad"))
     counts = materialize(counts, "quality-counts")
@@ -175,8 +185,7 @@ def base_failed(cfg: QualityConfig = QualityConfig()) -> F.Column:
 
 def measure(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """The columns in keep and the numbers of each text, written to the shared folder."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-    made = ", ".join(f"{c} bigint" for c in names)
+    made = ", ".join(f"{c} bigint" for c in NUMBERS)
     return materialize(map_texts(docs, text, keep, made, lambda texts: list(zip(*map(measure_text, texts))) or [[]] * 6), "quality")
 
 

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from rowsieve.llm import quality
 
@@ -62,3 +63,33 @@ def test_cutoffs_and_verdicts(spark):
     assert quality.judge(measured, none, "lang").where("kept").count() == 3301
     empty = quality.measure(docs.limit(0), ("doc_id", "lang"))
     assert quality.judge(empty, quality.calibrate(empty, labels, "lang"), "lang").count() == 0
+
+
+def test_repeated_rows_and_labels_count_once(spark):
+    junk = "buy### now*** the$$$ best### deal&&& you%%% ever*** had### in$$$ your*** life{}"
+    docs = spark.createDataFrame([(i, junk.format(i), "en") for i in range(40)] * 50, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 0) for i in range(40)] * 20 + [(0, 1), (None, 0)], "doc_id bigint, quality int")
+    measured = quality.measure(docs, ("doc_id", "lang"))
+    held = quality.labelled(measured, labels, "lang").groupBy("doc_id", "quality").count().collect()
+    assert sorted((r.doc_id, r.quality, r["count"]) for r in held) == [(i, 0, 1) for i in range(40)]
+
+
+def test_false_rejections_on_labels_left_out_of_the_fit(spark):
+    """Cutoffs are learnt on one half of the labels; on the other half the rules reject few good documents."""
+    rng = random.Random(5)
+    symbols = ["", "", "", "", "", "", "", "#", "#*$", "&%|<>#*$&%"]
+
+    def text(i, good):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(12, 40))]
+        noise = symbols if rng.random() < (0.002 if good else 0.9) else [""]
+        return " ".join(w + rng.choice(noise) for w in words) + f" {i}"
+
+    rows = [(i, text(i, i % 3 > 0), rng.choice(["en", "de", None]), int(i % 3 > 0)) for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, quality int")
+    measured = quality.measure(docs, ("doc_id", "lang"))
+    cutoffs = quality.calibrate(measured, docs.where("doc_id % 2 = 0"), "lang").cache()
+    assert cutoffs.where("symbols is not null").count() == 3
+    held = quality.judge(measured, cutoffs, "lang").join(docs.where("doc_id % 2 = 1").select("doc_id", "quality"), "doc_id")
+    wrong = F.avg((F.size("failed_rules") > 0).cast("int"))
+    for r in held.where("not base_failed").groupBy("lang", "quality").agg(wrong.alias("rejected")).collect():
+        assert r.rejected <= 0.05 if r.quality else r.rejected > 0.3, r
