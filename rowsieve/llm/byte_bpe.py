@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rowsieve.llm._common import map_texts, read_table
 
-#: Leaves of the tree over a text, in characters, and of the tree over one long match, in bytes.
-LEAF_CHARS, LEAF_BYTES = 4096, 256
+#: Leaves of the tree over a text, in characters (and of ids to decode, in ids), and of the tree over one long match, in bytes.
+LEAF_CHARS, LEAF_BYTES = 256, 256
 #: The first and the largest window beside a seam before the join goes from text to tokens.
 WINDOW, MAX_WINDOW = 32, 2048
 

@@ -42,6 +42,17 @@ def test_default_leaves_and_documents():
     assert tree.encode("") == [] and tree.decode([]) == b""
 
 
+def test_texts_of_usual_length_go_up_the_tree():
+    tree, rng, joins = TreeEncoder(PATH), random.Random(4), []
+    join = tree._join
+    tree._join = lambda text, lo, mid, hi, *halves: joins.append((lo, hi)) or join(text, lo, mid, hi, *halves)
+    for n in (100, 256, 257, 1000, 3000):
+        text = "".join(rng.choice("aeinrst  .'\né1") for _ in range(n))
+        joins.clear()
+        assert tree.encode(text) == tree.core.encode_ordinary(text)
+        assert bool(joins) == (n > 256) and (not joins or joins[-1] == (0, n)) and len(joins) >= n // 257
+
+
 def test_documents(spark):
     tree = TreeEncoder(PATH)
     rows = [(1, "It's a test", 5), (None, "no key", None), (2, None, 1), (3, "", 1), (4, "long text " * 30_000, 1), (1, "It's a test", 5)]
