@@ -9,6 +9,8 @@ fingerprint are a node, named by their smallest key; nodes are linked where thei
 * By the triangle inequality a pair that the split separates has its inner member within radius of the split. So
   a fingerprint with a distance in (split - radius, split] goes outside as well, as a guest: every linked pair meets in a
   shard, and nearly all others never do.
+* The tree ends where guests would make more than ``spread`` copies of a row. Shards that are then too large, all of them, are
+  parted by blocks of bits, of which linked fingerprints share one: radius + 1 copies of a row at any size.
 * A shard is solved by the same recursion down to small leaves, which are compared all against all; a group of near
   copies that no vantage point parts is solved by leaders. It leaves behind a spanning forest: at most one link a row,
   however many pairs a group has.
@@ -49,11 +51,12 @@ class SimHashConfig:
     #: Distinct fingerprints a shard should hold.
     shard_size: int = 2048
     max_depth: int = 14
-    #: Fingerprints that shape the trees of a round.
+    #: Fingerprints that shape the top tree.
     sample: int = 40_000
-    #: Rounds of routing: the first deals all out, the others part what came out too large, so many shards at once.
-    rounds: int = 4
-    hot_shards: int = 64
+    #: Copies of a row, guests included, that the top tree may make of the sample's rows.
+    spread: float = 2.0
+    #: Rounds of routing: the first is by the top tree, the second parts what came out too large.
+    rounds: int = 2
     #: Shards are split down to leaves of this size.
     leaf: int = 256
     seed: int = 42
@@ -252,31 +255,35 @@ def _routed(rows: DataFrame, trees: dict[int, tuple[int, TopTree]]) -> DataFrame
     return rows.mapInArrow(route, rows.schema)
 
 
+def _by_blocks(rows: DataFrame, names: list[str], cfg: SimHashConfig) -> DataFrame:
+    """Part the shards of rows that are too large. Of radius + 1 blocks of bits, two fingerprints within the radius have one in
+    common, so a row goes to one part for each of its blocks' values: radius + 1 copies of a row, whatever the shard."""
+    sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * cfg.shard_size)
+    sizes = materialize(sizes.select("shard", F.ceil(F.col("n") / cfg.shard_size).alias("parts")), "simhash-large")
+    ends = [64 * i // (cfg.radius + 1) for i in range(cfg.radius + 2)]
+    parts = []
+    for i, (lo, hi) in enumerate(zip(ends, ends[1:])):
+        value = F.shiftrightunsigned(F.shiftleft("fp", 64 - hi), 64 - hi + lo)
+        parts.append(F.xxhash64("shard", F.lit(i), F.pmod(F.xxhash64(value), F.col("parts"))))
+    goes = F.when(F.col("parts").isNull(), F.array("shard")).otherwise(F.array_distinct(F.array(*parts)))
+    return lookup(rows, sizes, ["shard"], F.col("node"), "left").select(F.explode(goes).alias("shard"), *names)
+
+
 def shards(nodes: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
     """shard and the columns of nodes (fp, node, w0, ...), guests included.
 
-    Shards that near copies have made large get trees of their own, in a few rounds; a group too tight for any vantage
-    point to part stays together and is left to solve()."""
+    Guests multiply at each level of the tree, so it is only as deep as the sample is spread to ``spread`` copies a row at
+    most. All shards that are still too large are parted by blocks of bits."""
     names = ["fp", "node", *(f"w{i}" for i in range(cfg.wide))]
-    rows, n, first = nodes.select(F.lit(0).cast("long").alias("shard"), *names), nodes.count(), 1
-    counts = {0: n} if n > cfg.shard_size else {}
-    for _ in range(cfg.rounds):
-        if not counts:
-            break
-        each = max(1, cfg.sample // len(counts))
-        hot = F.col("shard").isin(list(counts))
-        share = F.element_at(F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, min(1.0, each / c))]), F.col("shard"))
-        sample, trees = _sample(rows.where(hot), share, cfg.sample, cfg), {}
-        for shard, count in counts.items():
-            fps = np.array([fp for s, fp in sample if s == shard], dtype=np.int64).view(np.uint64)
-            depth = min(cfg.max_depth, int(np.ceil(np.log2(count / cfg.shard_size))))
-            trees[shard] = (first, TopTree(fps, depth, cfg))
-            first += 1 << depth
-        rows = materialize(rows.where(~hot).unionByName(_routed(rows.where(hot), trees)), "simhash-shards")
-        sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * cfg.shard_size)
-        # At most rows / (4 * shard_size) of them; the largest first, as many as trees are worth having for.
-        counts = {r["shard"]: r["n"] for r in sizes.orderBy(F.col("n").desc(), "shard").limit(cfg.hot_shards).collect()}
-    return rows
+    rows, n = nodes.select(F.lit(0).cast("long").alias("shard"), *names), nodes.count()
+    if n <= cfg.shard_size:
+        return rows
+    sample = np.array([fp for _, fp in _sample(rows, F.lit(min(1.0, cfg.sample / n)), cfg.sample, cfg)], dtype=np.int64).view(np.uint64)
+    depth = min(cfg.max_depth, int(np.ceil(np.log2(n / cfg.shard_size))))
+    while len((tree := TopTree(sample, depth, cfg)).route(sample)[0]) > cfg.spread * len(sample):
+        depth -= 1
+    rows = materialize(_routed(rows, {0: (0, tree)}), "simhash-shards")
+    return materialize(_by_blocks(rows, names, cfg), "simhash-parts") if cfg.rounds > 1 else rows
 
 
 def links(nodes: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
