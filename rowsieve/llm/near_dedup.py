@@ -5,6 +5,7 @@ Vantage-point trees over SimHash fingerprints (simhash.links) and stars around t
 MinHash values bring together most of what is alike at linear cost. Fingerprints alone can't do it: at an index of 0.8 those of
 64 bits differ in ten bits or so, a radius at which no vantage point parts anything. So what the trees leave apart meets by prefix
 filtering: with all shingles in one order, two sets of index t have one in common among the first n - ceil(t n) + 1 of each.
+In two rounds each node is first checked against two others at most that it meets so, which brings large groups together.
 Of the pairs of different components that meet so, and whose sizes and bitmaps of shingles allow t, first the one with most
 shingles in common is checked for each node and component that it meets, then all whose components still differ. The order puts
 shingles last that a sample shows to be frequent; with any order the links are the same, so none is lost.
@@ -52,6 +53,8 @@ class JaccardConfig:
     star: int = 256
     star_shingles: int = 1_000_000
     block: int = 2048
+    #: Rounds in which each node meets a few others of its buckets, before all that are still apart meet.
+    rounds: int = 2
     seed: int = 42
 
 
@@ -249,11 +252,9 @@ def _met(rows: DataFrame, n: int, cfg: JaccardConfig) -> DataFrame:
     return materialize(_in_order(rows.select("text").mapInArrow(keys, schema)).mapInArrow(_runs(shared), schema).distinct(), "near-met")
 
 
-def meetings(met: DataFrame, nodes: DataFrame, joined: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """Pairs (a, b, n) of nodes that have n shingles of their prefixes in common, are in different components of joined
-    (node, component) and may reach the least index by their sizes and bitmaps.
-
-    A bucket is dealt into blocks that meet each other; buckets of one component are left out before."""
+def _dealt(met: DataFrame, nodes: DataFrame, joined: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """The buckets of met (key, node) that several components of joined (node, component) meet in. A bucket is dealt into blocks
+    that meet each other."""
     rows = met.join(nodes.select("node", "size", *_MAP), "node").join(joined, "node", "left")
     rows = rows.select("key", "node", F.coalesce("component", "node").alias("component"), F.col("size").cast("long"), *_MAP)
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -263,32 +264,99 @@ def meetings(met: DataFrame, nodes: DataFrame, joined: DataFrame, cfg: JaccardCo
     rows = rows.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
     # In the task of a block with itself all rows meet; elsewhere those of one block don't.
     rows = rows.withColumn("side", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine"))).drop("blocks", "mine", "other")
+    return rows
+
+
+def _near(one: tuple, other: tuple, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in one and other (arrays of node, component, size, side and bitmaps) of rows that are in different components and
+    whose sizes and bitmaps allow the least index, and how many places of the bitmaps differ."""
+    (node, part, size, side, maps), (node_, part_, size_, side_, maps_) = one, other
+    able = (part[:, None] != part_[None]) & ((side[:, None] < 0) | (side[:, None] != side_[None])) & (node[:, None] != node_[None])
+    able &= np.maximum(size[:, None], size_[None]) * least <= np.minimum(size[:, None], size_[None]) * 100
+    i, j = np.nonzero(able)
+    far = np.bitwise_count(maps[i] ^ maps_[j]).sum(1, dtype=np.int64)
+    near = far * (100 + least) <= (size[i] + size_[j]) * (100 - least)
+    return i[near], j[near], far[near]
+
+
+def _columns(run: pa.Table) -> tuple[np.ndarray, ...]:
+    maps = np.stack([run.column(c).to_numpy() for c in _MAP], axis=1).view(np.uint64)
+    return (*(run.column(c).to_numpy() for c in ("node", "component", "size", "side")), maps)
+
+
+def _pairs_of(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    one, other = np.concatenate(a), np.concatenate(b)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], names=["a", "b"])
+
+
+def closest(met: DataFrame, nodes: DataFrame, joined: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """Pairs (a, b) of nodes of different components, two for a node at most: of the rows that a node meets in a bucket, the one
+    with the nearest bitmap and the one that most rows of the bucket may be linked to. Of these pairs each node has those that most
+    buckets name."""
+    least = cfg.least
+
+    def pairs(run: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, cols = run.column("key").to_numpy(), _columns(run)
+        starts, a, b, kind = _starts(key), [], [], []
+        for first, end in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):
+            size = end - first
+            best, who, degree = np.full(size, 1 << 40), np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+            chunks = [(x, y) for x in range(first, end, 256) for y in range(first, end, 4096)]
+            found = lambda x, y: _near(*(tuple(c[p : min(p + q, end)] for c in cols) for p, q in ((x, 256), (y, 4096))), least)
+            for x, y in chunks:
+                i, j, far = found(x, y)
+                i, j = i + x - first, j + y - first
+                degree += np.bincount(i, minlength=size)
+                order = np.lexsort((cols[0][first:end][j], far, i))
+                i, j, far = i[order], j[order], far[order]
+                head = _starts(i) if len(i) else np.zeros(0, dtype=np.int64)
+                closer = far[head] < best[i[head]]
+                best[i[head][closer]], who[i[head][closer]] = far[head][closer], j[head][closer]
+            node = cols[0][first:end]
+            mine = np.flatnonzero(degree)
+            if not len(mine):
+                continue
+            hub = int(np.lexsort((node, -degree))[0])
+            near_hub = np.concatenate([_near(tuple(c[first + hub : first + hub + 1] for c in cols), tuple(c[y : min(y + 4096, end)] for c in cols), least)[1] + y - first for y in range(first, end, 4096)])
+            for k, (x, y) in enumerate(((mine, who[mine]), (near_hub, np.full(len(near_hub), hub)))):
+                a.append(node[x])
+                b.append(node[y])
+                kind.append(np.full(len(x), k))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (a, b, kind)], names=["a", "b", "kind"])
+
+    found = _in_order(_dealt(met, nodes, joined, cfg)).mapInArrow(_runs(pairs), "a bigint, b bigint, kind bigint")
+    found = found.groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("n"))
+    best = found.groupBy("a", "kind").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    return materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-closest")
+
+
+def meetings(met: DataFrame, nodes: DataFrame, joined: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """Pairs (a, b, n) of nodes that have n shingles of their prefixes in common, are in different components of joined
+    (node, component) and may reach the least index by their sizes and bitmaps.
+
+    A bucket is dealt into blocks that meet each other; buckets of one component are left out before."""
+    rows = _dealt(met, nodes, joined, cfg)
     least = cfg.least
 
     def pairs(run: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, node, part, size, side = (run.column(c).to_numpy() for c in ("key", "node", "component", "size", "side"))
-        maps, starts = np.stack([run.column(c).to_numpy() for c in _MAP], axis=1).view(np.uint64), _starts(key)
+        key, cols = run.column("key").to_numpy(), _columns(run)
+        starts, node = _starts(key), cols[0]
         a, b, n = [], [], 0
         for first, end in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):
             for at in range(first, end, 256):
                 for to in range(at, end, 4096):
-                    x, y = slice(at, min(at + 256, end)), slice(to, min(to + 4096, end))
-                    able = (part[x, None] != part[None, y]) & ((side[x, None] < 0) | (side[x, None] != side[None, y]))
-                    able &= np.maximum(size[x, None], size[None, y]) * least <= np.minimum(size[x, None], size[None, y]) * 100
-                    i, j = np.nonzero(able)
-                    far = np.bitwise_count(maps[x][i] ^ maps[y][j]).sum(1, dtype=np.int64)
-                    near = far * (100 + least) <= (size[x][i] + size[y][j]) * (100 - least)
-                    one, other = node[x][i[near]], node[y][j[near]]
+                    i, j, _ = _near(*(tuple(c[p : min(p + q, end)] for c in cols) for p, q in ((at, 256), (to, 4096))), least)
                     # Rows of the first block meet among themselves twice.
-                    once = (i[near] + at < j[near] + to) & (one != other)
-                    a.append(np.minimum(one, other)[once])
-                    b.append(np.maximum(one, other)[once])
+                    once = i + at < j + to
+                    a.append(node[at + i[once]])
+                    b.append(node[to + j[once]])
                     n += int(once.sum())
                     if n > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], names=["a", "b"])
+                        yield _pairs_of(a, b)
                         a, b, n = [], [], 0
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], names=["a", "b"])
+            yield _pairs_of(a, b)
 
     found = _in_order(rows).mapInArrow(_runs(pairs), "a bigint, b bigint").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     # Behind the earlier end of both prefixes lie less than ceil(t n) shingles of one set, so more than these and the n before it
@@ -315,7 +383,15 @@ def similar_links(rows: DataFrame, sets: DataFrame, nodes: DataFrame, cfg: Jacca
     first = trees.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(stars).distinct()
     near = checked(first, rows, nodes, cfg)
     joined = materialize(simhash.components(near, "near-components"), "near-joined")
-    todo = meetings(_met(rows, sets.count(), cfg), nodes, joined, cfg)
+    met = _met(rows, sets.count(), cfg)
+    # Groups that are still in pieces come together by few pairs a node before all pairs of different components are looked at.
+    for _ in range(cfg.rounds):
+        found = checked(closest(met, nodes, joined, cfg), rows, nodes, cfg)
+        if found.isEmpty():
+            break
+        near = near.unionByName(found)
+        joined = materialize(simhash.components(near, "near-components"), "near-joined")
+    todo = meetings(met, nodes, joined, cfg)
     # What has most in common first: for each node, then for each node and component that it meets, then all.
     for by in (["x"], ["x", "c"], None):
         todo = materialize(_apart(todo, joined), "near-apart")
