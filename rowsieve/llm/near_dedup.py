@@ -58,8 +58,9 @@ class JaccardConfig:
     seed: int = 42
 
 
-#: Columns of a set's bitmap, and of the fingerprint and the sketch that the trees go by.
-_MAP = ("b0", "b1", "b2", "b3")
+#: Longs of a set's bitmap: wide enough that sets of a few hundred shingles fill it in part only.
+_WORDS = 16
+#: Columns of the fingerprint and the sketch that the trees go by.
 _PRINTS = ("fp", "w0", "w1", "w2", "w3")
 _EDGES = np.arange(256, dtype=np.uint64) << np.uint64(56)
 
@@ -96,7 +97,7 @@ def _described(text: str | None, cfg: JaccardConfig, odd: np.ndarray) -> tuple[i
     mixed = grams[None] * odd[:, None]
     mixed = (mixed ^ mixed >> np.uint64(29)) * odd[:, None]
     mins = mixed.min(1) ^ odd if len(grams) else np.zeros(0, dtype=np.uint64)
-    bits = np.zeros(64 * len(_MAP), dtype=np.uint8)
+    bits = np.zeros(64 * _WORDS, dtype=np.uint8)
     bits[(grams >> np.uint64(7)) % np.uint64(len(bits))] = 1
     return _name(grams), len(grams), mins, np.packbits(bits).view(np.uint64), [word_print(words), *sketch(grams)]
 
@@ -114,13 +115,12 @@ def described(rows: DataFrame, cfg: JaccardConfig) -> DataFrame:
 
     def work(texts: list[str | None]) -> list:
         made = [_described(x, cfg, odd) for x in texts]
-        maps = np.stack([m[3] for m in made]).view(np.int64) if made else np.zeros((0, len(_MAP)), dtype=np.int64)
         fps = np.array([m[4] for m in made], dtype=np.uint64).reshape(len(made), len(_PRINTS)).view(np.int64)
-        mins = pa.array([m[2].view(np.int64) for m in made], type=pa.list_(pa.int64()))
-        return [np.array([m[0] for m in made], dtype=np.uint64).view(np.int64), [m[1] for m in made], mins, *maps.T, *fps.T]
+        mins, maps = (pa.array([m[i].view(np.int64) for m in made], type=pa.list_(pa.int64())) for i in (2, 3))
+        return [np.array([m[0] for m in made], dtype=np.uint64).view(np.int64), [m[1] for m in made], mins, maps, *fps.T]
 
     flat = rows.select("rep.doc_id", "rep.text_hash", "text")
-    made = "node bigint, size int, mins array<bigint>, " + ", ".join(f"{c} bigint" for c in (*_MAP, *_PRINTS))
+    made = "node bigint, size int, mins array<bigint>, map array<bigint>, " + ", ".join(f"{c} bigint" for c in _PRINTS)
     found = map_texts(flat, "text", ("doc_id", "text_hash"), made, work)
     return materialize(found.select(F.struct("doc_id", "text_hash").alias("rep"), *found.columns[2:]), "near-described")
 
@@ -157,9 +157,9 @@ def checked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, cfg: JaccardCon
     Sizes and bitmaps come first: sets of n and m shingles reach t only if at most (1 - t) / (1 + t) (n + m) shingles are in
     one of them, and bitmaps differ in no more places than that. The others are checked on the texts: a's text goes to each piece
     of a's star, b's to the one that it is in."""
-    end = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("size", *_MAP)])
+    end = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("size", "map")])
     met = pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b")
-    far = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _MAP), F.lit(0))
+    far = F.aggregate(F.zip_with("map_a", "map_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     able = F.greatest("size_a", "size_b") * cfg.least <= F.least("size_a", "size_b") * 100
     able = able & (far * (100 + cfg.least) <= (F.col("size_a") + F.col("size_b")) * (100 - cfg.least))
     met = materialize(met.where(able).select("a", "b", F.col("size_b").alias("size")), "near-able")
@@ -205,9 +205,10 @@ def frequent_shingles(rows: DataFrame, n: int, cfg: JaccardConfig) -> tuple[np.n
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), size).view(np.int64))], names=["g"])
 
     counts = chosen.mapInArrow(grams, "g bigint").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cfg.frequent_from)
-    top = counts.orderBy(F.col("n").desc(), "g").limit(cfg.frequent).collect()
-    found = np.array(sorted((r["g"] % 2**64, r["n"]) for r in top), dtype=np.uint64).reshape(-1, 2)
-    return found[:, 0], found[:, 1].astype(np.int64)
+    top = counts.orderBy(F.col("n").desc(), "g").limit(cfg.frequent).toArrow()
+    found, often = top.column("g").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(found)
+    return found[order], often[order]
 
 
 def prefix(grams: np.ndarray, frequent: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
@@ -255,11 +256,12 @@ def _met(rows: DataFrame, n: int, cfg: JaccardConfig) -> DataFrame:
 def _dealt(met: DataFrame, nodes: DataFrame, joined: DataFrame, cfg: JaccardConfig) -> DataFrame:
     """The buckets of met (key, node) that several components of joined (node, component) meet in. A bucket is dealt into blocks
     that meet each other."""
-    rows = met.join(nodes.select("node", "size", *_MAP), "node").join(joined, "node", "left")
-    rows = rows.select("key", "node", F.coalesce("component", "node").alias("component"), F.col("size").cast("long"), *_MAP)
+    rows = met.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     buckets = buckets.where("low < high").select("key", F.ceil(F.col("n") / cfg.block).cast("int").alias("blocks"))
-    rows = rows.join(buckets, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Sizes and bitmaps travel with what is left only.
+    rows = rows.join(buckets, "key").join(nodes.select("node", F.col("size").cast("long").alias("size"), "map"), "node")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
     # In the task of a block with itself all rows meet; elsewhere those of one block don't.
@@ -274,13 +276,17 @@ def _near(one: tuple, other: tuple, least: int) -> tuple[np.ndarray, np.ndarray,
     able = (part[:, None] != part_[None]) & ((side[:, None] < 0) | (side[:, None] != side_[None])) & (node[:, None] != node_[None])
     able &= np.maximum(size[:, None], size_[None]) * least <= np.minimum(size[:, None], size_[None]) * 100
     i, j = np.nonzero(able)
-    far = np.bitwise_count(maps[i] ^ maps_[j]).sum(1, dtype=np.int64)
-    near = far * (100 + least) <= (size[i] + size_[j]) * (100 - least)
-    return i[near], j[near], far[near]
+    # A quarter of the bitmaps rules most pairs out.
+    far, quarter = np.zeros(len(i), dtype=np.int64), _WORDS // 4
+    for words in (slice(quarter), slice(quarter, None)):
+        far = far + np.bitwise_count(maps[i, words] ^ maps_[j, words]).sum(1, dtype=np.int64)
+        near = far * (100 + least) <= (size[i] + size_[j]) * (100 - least)
+        i, j, far = i[near], j[near], far[near]
+    return i, j, far
 
 
 def _columns(run: pa.Table) -> tuple[np.ndarray, ...]:
-    maps = np.stack([run.column(c).to_numpy() for c in _MAP], axis=1).view(np.uint64)
+    maps = run.column("map").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _WORDS)
     return (*(run.column(c).to_numpy() for c in ("node", "component", "size", "side")), maps)
 
 
@@ -417,7 +423,7 @@ def similar_groups(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), text:
     def work() -> DataFrame:
         sets = described(rows, cfg)
         prints = [F.min(F.struct(*_PRINTS)).alias("prints"), F.min("rep").alias("rep"), F.min("rep.doc_id").alias("first_id")]
-        nodes = sets.groupBy("node", "size", *_MAP).agg(*prints).select("*", "prints.*").drop("prints")
+        nodes = sets.groupBy("node", "size").agg(F.first("map").alias("map"), *prints).select("*", "prints.*").drop("prints")
         nodes = materialize(nodes, "near-nodes")
         classes = simhash.named(nodes, simhash.components(similar_links(rows, sets, nodes, cfg), "near-components"))
         return sets.select("rep.doc_id", "rep.text_hash", "node").join(classes, "node").select("doc_id", "text_hash", "component_id", "component")

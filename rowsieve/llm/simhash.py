@@ -236,7 +236,8 @@ def solve(fps: np.ndarray, wide: np.ndarray, cfg: SimHashConfig) -> list[tuple[i
 def _sample(rows: DataFrame, share: Column, most: int, cfg: SimHashConfig) -> list[tuple[int, int]]:
     """(shard, fp) of about share of rows, chosen by a hash, in order."""
     chosen = rows.where(F.xxhash64(F.lit(cfg.seed), "fp") / F.lit(2.0**64) + 0.5 <= share).select("shard", "fp").limit(2 * most)
-    return sorted((r["shard"], r["fp"]) for r in chosen.collect())
+    found = chosen.toArrow()
+    return sorted(zip(found.column("shard").to_pylist(), found.column("fp").to_pylist()))
 
 
 def _routed(rows: DataFrame, trees: dict[int, tuple[int, TopTree]]) -> DataFrame:
