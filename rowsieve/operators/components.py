@@ -27,8 +27,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         smallest = store(large.groupBy("b").agg(F.min("a").alias("m")), "small-star")
         small = lookup(large, smallest, ["b"], F.col("a")).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
         edges = store(small.where("a <> b").distinct(), "edges")
-        torn = edges.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b")
-        chained = edges.select("b").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
-        if torn.unionAll(chained).isEmpty():
+        # Torn: a node with several centres. Chained: a centre that has one. Counted, as a join might be broadcast.
+        ends = edges.select("b", F.lit(1).alias("tied"), F.lit(0).alias("centre")).unionAll(edges.select("a", F.lit(0), F.lit(1)))
+        if ends.groupBy("b").agg(F.sum("tied").alias("tied"), F.max("centre").alias("centre")).where("tied + centre > 1 AND tied > 0").isEmpty():
             centres = edges.select("a").distinct()
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(centres.select("a", "a"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowsieve.functions import keys
-from rowsieve.operators import exact, lookup
+from rowsieve.operators import components, exact, lookup
 from rowsieve.operators.components import connected_components
 
 ROWS = [
@@ -63,6 +63,22 @@ def test_components_against_brute_force(spark):
     assert {r.node: r.component for r in got} == {x: label[x] for x in touched} and len(got) == len(touched)
 
 
+def test_large_tables_are_not_broadcast_by_estimate(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 100)
+    run, plans = components.store, []
+
+    def store(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return run(df, tag)
+
+    monkeypatch.setattr(components, "store", store)
+    edges = spark.range(5000).selectExpr("id AS a", "id + 1 AS b").where("a % 7 <> 0")
+    got = connected_components(edges).collect()
+    # 7 i + 1 to 7 i + 7 are chained; small tables, by their files, that have more rows than may be broadcast.
+    assert {r.node: r.component for r in got} == {n: n - (n - 1) % 7 for n in range(1, 5001)} and len(got) == 5000
+    assert sum("SortMergeJoin" in p for p in plans) >= 2 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_long_runs_take_linear_time(spark):
     v, n = F.col("v"), 200_000
     rows = [("-" * n + "a" + "-" * n,), ("|" * n + "a" + " |" * n,), (" " * n + "a" + " " * n + "b",), ("a" + " | " * n + "b",)]
