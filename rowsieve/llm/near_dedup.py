@@ -58,8 +58,8 @@ class JaccardConfig:
     seed: int = 42
 
 
-#: Longs of a set's bitmap: wide enough that sets of a few hundred shingles fill it in part only.
-_WORDS = 16
+#: Least and most longs of a set's bitmap, which has a bit for each shingle at least in between.
+_WORDS, _MOST_WORDS = 16, 256
 #: Columns of the fingerprint and the sketch that the trees go by.
 _PRINTS = ("fp", "w0", "w1", "w2", "w3")
 _EDGES = np.arange(256, dtype=np.uint64) << np.uint64(56)
@@ -82,6 +82,14 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(((found >> np.uint64(7)) & inside.astype(np.uint64)).astype(np.uint8)).view(np.uint64)
 
 
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles at each place: what both of two sets have cancels out, so places differ by shingles of one
+    set only, and in no more than there are of these. A wide bitmap folds to a narrow one by exclusive or of its parts."""
+    words = min(max(_WORDS, 1 << (-(-len(grams) // 64) - 1).bit_length() if len(grams) else 0), _MOST_WORDS)
+    at = ((grams >> np.uint64(7)) % np.uint64(64 * words)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * words) & 1).astype(np.uint8)).view(np.uint64)
+
+
 def word_print(words: list[bytes]) -> int:
     """The SimHash fingerprint of single words, repeats included."""
     counts = Counter(words)
@@ -97,9 +105,7 @@ def _described(text: str | None, cfg: JaccardConfig, odd: np.ndarray) -> tuple[i
     mixed = grams[None] * odd[:, None]
     mixed = (mixed ^ mixed >> np.uint64(29)) * odd[:, None]
     mins = mixed.min(1) ^ odd if len(grams) else np.zeros(0, dtype=np.uint64)
-    bits = np.zeros(64 * _WORDS, dtype=np.uint8)
-    bits[(grams >> np.uint64(7)) % np.uint64(len(bits))] = 1
-    return _name(grams), len(grams), mins, np.packbits(bits).view(np.uint64), [word_print(words), *sketch(grams)]
+    return _name(grams), len(grams), mins, bitmap(grams), [word_print(words), *sketch(grams)]
 
 
 def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -161,7 +167,7 @@ def checked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, cfg: JaccardCon
     met = pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b")
     far = F.aggregate(F.zip_with("map_a", "map_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     able = F.greatest("size_a", "size_b") * cfg.least <= F.least("size_a", "size_b") * 100
-    able = able & (far * (100 + cfg.least) <= (F.col("size_a") + F.col("size_b")) * (100 - cfg.least))
+    able = able & ((F.size("map_a") != F.size("map_b")) | (far * (100 + cfg.least) <= (F.col("size_a") + F.col("size_b")) * (100 - cfg.least)))
     met = materialize(met.where(able).select("a", "b", F.col("size_b").alias("size")), "near-able")
     asked = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = materialize(asked.join(nodes, "node").select("node", "rep.doc_id", "rep.text_hash"), "near-asked")
@@ -226,7 +232,8 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 
 
 def _met(rows: DataFrame, n: int, cfg: JaccardConfig) -> DataFrame:
-    """key and node: the shingles that the prefixes of several nodes have. A partition's equal sets are sent once."""
+    """key, node and n: the shingles that the prefixes of several nodes have, those of the same nodes as one key of n shingles. A
+    partition's equal sets are sent once."""
     frequent, counts = frequent_shingles(rows, n, cfg)
     size, least = cfg.shingle, cfg.least
 
@@ -245,18 +252,25 @@ def _met(rows: DataFrame, n: int, cfg: JaccardConfig) -> DataFrame:
 
     def shared(run: pa.Table) -> Iterator[pa.RecordBatch]:
         key, node = run.column("key").to_numpy(), run.column("node").to_numpy()
+        new = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[np.concatenate([[True], new])], node[np.concatenate([[True], new])]
         starts = _starts(key)
-        several = np.minimum.reduceat(node, starts) != np.maximum.reduceat(node, starts)
-        yield from run.filter(pa.array(np.repeat(several, np.diff([*starts, len(key)])))).to_batches()
+        ends = np.append(starts[1:], len(key))
+        several = ends - starts > 1
+        names = [xxhash.xxh64_intdigest(node[i:j].tobytes(), 42) for i, j in zip(starts[several].tolist(), ends[several].tolist())]
+        held = np.repeat(several, ends - starts)
+        key = np.repeat(np.array(names, dtype=np.uint64), (ends - starts)[several])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[held])], names=["key", "node"])
 
     schema = "key bigint, node bigint"
-    return materialize(_in_order(rows.select("text").mapInArrow(keys, schema)).mapInArrow(_runs(shared), schema).distinct(), "near-met")
+    met = _in_order(rows.select("text").mapInArrow(keys, schema), "node").mapInArrow(_runs(shared), schema)
+    return materialize(met.groupBy("key", "node").agg(F.count(F.lit(1)).alias("n")), "near-met")
 
 
 def _dealt(met: DataFrame, nodes: DataFrame, joined: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """The buckets of met (key, node) that several components of joined (node, component) meet in. A bucket is dealt into blocks
+    """The buckets of met (key, node, n) that several components of joined (node, component) meet in. A bucket is dealt into blocks
     that meet each other."""
-    rows = met.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    rows = met.join(joined, "node", "left").select("key", "node", F.col("n").alias("shingles"), F.coalesce("component", "node").alias("component"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     buckets = buckets.where("low < high").select("key", F.ceil(F.col("n") / cfg.block).cast("int").alias("blocks"))
     # Sizes and bitmaps travel with what is left only.
@@ -269,46 +283,61 @@ def _dealt(met: DataFrame, nodes: DataFrame, joined: DataFrame, cfg: JaccardConf
     return rows
 
 
-def _near(one: tuple, other: tuple, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in one and other (arrays of node, component, size, side and bitmaps) of rows that are in different components and
-    whose sizes and bitmaps allow the least index, and how many places of the bitmaps differ."""
-    (node, part, size, side, maps), (node_, part_, size_, side_, maps_) = one, other
+def _near(one: tuple, other: tuple, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in one and other (arrays of node, component, size, side, narrow bitmaps and where in words the whole ones are) of rows
+    that are in different components and whose sizes and bitmaps allow the least index, and how many places of the bitmaps differ."""
+    (node, part, size, side, maps, at, wide), (node_, part_, size_, side_, maps_, at_, wide_) = one, other
     able = (part[:, None] != part_[None]) & ((side[:, None] < 0) | (side[:, None] != side_[None])) & (node[:, None] != node_[None])
     able &= np.maximum(size[:, None], size_[None]) * least <= np.minimum(size[:, None], size_[None]) * 100
     i, j = np.nonzero(able)
-    # A quarter of the bitmaps rules most pairs out.
+    # A quarter of the narrow bitmaps rules most pairs out, the whole ones most of the others.
     far, quarter = np.zeros(len(i), dtype=np.int64), _WORDS // 4
-    for words in (slice(quarter), slice(quarter, None)):
-        far = far + np.bitwise_count(maps[i, words] ^ maps_[j, words]).sum(1, dtype=np.int64)
-        near = far * (100 + least) <= (size[i] + size_[j]) * (100 - least)
+    allowed = lambda i, j: (size[i] + size_[j]) * (100 - least)
+    for piece in (slice(quarter), slice(quarter, None)):
+        far = far + np.bitwise_count(maps[i, piece] ^ maps_[j, piece]).sum(1, dtype=np.int64)
+        near = far * (100 + least) <= allowed(i, j)
         i, j, far = i[near], j[near], far[near]
-    return i, j, far
-
-
-def _columns(run: pa.Table) -> tuple[np.ndarray, ...]:
-    maps = run.column("map").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _WORDS)
-    return (*(run.column(c).to_numpy() for c in ("node", "component", "size", "side")), maps)
-
-
-def _pairs_of(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    for w, w_ in {(x, y) for x in np.unique(wide[i]).tolist() for y in np.unique(wide_[j]).tolist() if min(x, y) > _WORDS}:
+        these, both = np.flatnonzero((wide[i] == w) & (wide_[j] == w_)), min(w, w_)
+        for k in range(0, len(these), 2048):
+            some = these[k : k + 2048]
+            ends = [words[a[x[some]][:, None] + np.arange(n)].reshape(len(some), -1, both) for a, x, n in ((at, i, w), (at_, j, w_))]
+            far[some] = np.bitwise_count(np.bitwise_xor.reduce(ends[0], 1) ^ np.bitwise_xor.reduce(ends[1], 1)).sum(1, dtype=np.int64)
+    near = far * (100 + least) <= allowed(i, j)
+    return i[near], j[near], far[near]
+
+
+def _columns(run: pa.Table) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """node, component, size, side, narrow bitmaps, start and length in words of each row's bitmap, and words."""
+    found = run.column("map").combine_chunks()
+    words, ends = found.flatten().to_numpy().view(np.uint64), found.offsets.to_numpy().astype(np.int64)
+    at, wide = ends[:-1] - ends[0], np.diff(ends)
+    maps = np.empty((len(at), _WORDS), dtype=np.uint64)
+    for w in np.unique(wide).tolist():
+        for rows in np.array_split(np.flatnonzero(wide == w), 1 + len(at) // 4096):
+            maps[rows] = np.bitwise_xor.reduce(words[at[rows][:, None] + np.arange(w)].reshape(len(rows), -1, _WORDS), 1)
+    return (*(run.column(c).to_numpy() for c in ("node", "component", "size", "side")), maps, at, wide), words
+
+
+def _pairs_of(a: list[np.ndarray], b: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
     one, other = np.concatenate(a), np.concatenate(b)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(np.concatenate(n))], names=["a", "b", "n"])
 
 
 def closest(met: DataFrame, nodes: DataFrame, joined: DataFrame, cfg: JaccardConfig) -> DataFrame:
     """Pairs (a, b) of nodes of different components, two for a node at most: of the rows that a node meets in a bucket, the one
-    with the nearest bitmap and the one that most rows of the bucket may be linked to. Of these pairs each node has those that most
-    buckets name."""
+    with the nearest bitmap and the one that most rows of the bucket may be linked to. Of these pairs each node has those that
+    buckets of most shingles name."""
     least = cfg.least
 
     def pairs(run: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, cols = run.column("key").to_numpy(), _columns(run)
-        starts, a, b, kind = _starts(key), [], [], []
+        key, often, (cols, words) = run.column("key").to_numpy(), run.column("shingles").to_numpy(), _columns(run)
+        starts, a, b, kind, n = _starts(key), [], [], [], []
         for first, end in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):
             size = end - first
             best, who, degree = np.full(size, 1 << 40), np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
             chunks = [(x, y) for x in range(first, end, 256) for y in range(first, end, 4096)]
-            found = lambda x, y: _near(*(tuple(c[p : min(p + q, end)] for c in cols) for p, q in ((x, 256), (y, 4096))), least)
+            found = lambda x, y: _near(*(tuple(c[p : min(p + q, end)] for c in cols) for p, q in ((x, 256), (y, 4096))), words, least)
             for x, y in chunks:
                 i, j, far = found(x, y)
                 i, j = i + x - first, j + y - first
@@ -323,16 +352,17 @@ def closest(met: DataFrame, nodes: DataFrame, joined: DataFrame, cfg: JaccardCon
             if not len(mine):
                 continue
             hub = int(np.lexsort((node, -degree))[0])
-            near_hub = np.concatenate([_near(tuple(c[first + hub : first + hub + 1] for c in cols), tuple(c[y : min(y + 4096, end)] for c in cols), least)[1] + y - first for y in range(first, end, 4096)])
+            near_hub = np.concatenate([_near(tuple(c[first + hub : first + hub + 1] for c in cols), tuple(c[y : min(y + 4096, end)] for c in cols), words, least)[1] + y - first for y in range(first, end, 4096)])
             for k, (x, y) in enumerate(((mine, who[mine]), (near_hub, np.full(len(near_hub), hub)))):
                 a.append(node[x])
                 b.append(node[y])
                 kind.append(np.full(len(x), k))
+                n.append(np.full(len(x), often[first]))
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (a, b, kind)], names=["a", "b", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (a, b, kind, n)], names=["a", "b", "kind", "n"])
 
-    found = _in_order(_dealt(met, nodes, joined, cfg)).mapInArrow(_runs(pairs), "a bigint, b bigint, kind bigint")
-    found = found.groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("n"))
+    found = _in_order(_dealt(met, nodes, joined, cfg)).mapInArrow(_runs(pairs), "a bigint, b bigint, kind bigint, n bigint")
+    found = found.groupBy("a", "b", "kind").agg(F.sum("n").alias("n"))
     best = found.groupBy("a", "kind").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     return materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-closest")
 
@@ -346,25 +376,26 @@ def meetings(met: DataFrame, nodes: DataFrame, joined: DataFrame, cfg: JaccardCo
     least = cfg.least
 
     def pairs(run: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, cols = run.column("key").to_numpy(), _columns(run)
+        key, often, (cols, words) = run.column("key").to_numpy(), run.column("shingles").to_numpy(), _columns(run)
         starts, node = _starts(key), cols[0]
-        a, b, n = [], [], 0
+        a, b, n, held = [], [], [], 0
         for first, end in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):
             for at in range(first, end, 256):
                 for to in range(at, end, 4096):
-                    i, j, _ = _near(*(tuple(c[p : min(p + q, end)] for c in cols) for p, q in ((at, 256), (to, 4096))), least)
+                    i, j, _ = _near(*(tuple(c[p : min(p + q, end)] for c in cols) for p, q in ((at, 256), (to, 4096))), words, least)
                     # Rows of the first block meet among themselves twice.
                     once = i + at < j + to
                     a.append(node[at + i[once]])
                     b.append(node[to + j[once]])
-                    n += int(once.sum())
-                    if n > 100_000:
-                        yield _pairs_of(a, b)
-                        a, b, n = [], [], 0
-        if n:
-            yield _pairs_of(a, b)
-
-    found = _in_order(rows).mapInArrow(_runs(pairs), "a bigint, b bigint").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+                    n.append(np.full(int(once.sum()), often[first]))
+                    held += len(n[-1])
+                    if held > 100_000:
+                        yield _pairs_of(a, b, n)
+                        a, b, n, held = [], [], [], 0
+        if held:
+            yield _pairs_of(a, b, n)
+
+    found = _in_order(rows).mapInArrow(_runs(pairs), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     # Behind the earlier end of both prefixes lie less than ceil(t n) shingles of one set, so more than these and the n before it
     # are not common; t / (1 + t) of all shingles of both must be.
     size = lambda name: nodes.select(F.col("node").alias(name), F.col("size").cast("long").alias(f"size_{name}"))

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from rowsieve.llm import near_dedup
 from rowsieve.llm.near_dedup import JaccardConfig
@@ -83,6 +85,57 @@ def test_sketches_of_similar_sets_are_near():
     assert near_dedup.sketch(np.zeros(0, dtype=np.uint64)).tolist() == [0] * 4
 
 
+def test_bitmaps_bound_what_differs_however_long_the_sets():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 900, 1025, 5000, 40_000):
+        for share in (1.0, 0.9, 0.7, 0.0):  # of each set that the other has, too
+            both, own = rng.integers(0, 2**64, int(n * share), dtype=np.uint64), rng.integers(0, 2**64, (2, n - int(n * share)), dtype=np.uint64)
+            sets = [np.unique(np.concatenate([both, x])) for x in own]
+            a, b = map(near_dedup.bitmap, sets)
+            far, differ = int(np.bitwise_count(a ^ b).sum()), len(np.setxor1d(*sets))
+            assert far <= differ
+            if share < 0.8 and 900 <= n <= 5000:
+                assert far * 180 > 2 * n * 20  # ruled out
+            narrow = np.bitwise_xor.reduce(a.reshape(-1, 16), 0)
+            assert len(narrow) == 16 and (len(a) > 16 or (narrow == a).all())
+
+
+def test_ends_of_different_widths_meet():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**64, 1100, dtype=np.uint64)
+    sets = [base[:1000], base, base[:1050], rng.integers(0, 2**64, 1100, dtype=np.uint64), base[200:], base[300:]]
+    maps = [near_dedup.bitmap(np.sort(x)).view(np.int64) for x in sets]
+    assert {len(m) for m in maps} == {16, 32}
+    n = np.arange(len(sets))
+    whole = pa.table({"node": n, "component": n, "size": [len(x) for x in sets], "side": n * 0 - 1, "map": pa.array(maps, type=pa.list_(pa.int64()))})
+    # Arrow's slices start within their buffers.
+    for first in (0, 1):
+        cols, words = near_dedup._columns(whole.slice(first))
+        i, j, far = near_dedup._near(cols, cols, words, 80)
+        found = {(a + first, b + first) for a, b in zip(i.tolist(), j.tolist())}
+        alike = {(a, b) for a in n[first:] for b in n[first:] if a != b and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+        assert len(alike) >= 6 and alike <= found and not any(3 in p for p in found)
+
+
+def test_shingles_of_the_same_nodes_are_one_key(spark):
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(3)]
+    texts = [" ".join(b[:k] + [f"n{rng.randrange(10**6)}" for _ in range(10)]) for b in base for k in (300, 290, 280)] + [" ".join(base[0])] * 2
+    rows = near_dedup.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3))
+    met = near_dedup._met(rows, len(texts), JaccardConfig()).collect()
+    frequent, counts = near_dedup.frequent_shingles(rows, len(texts), JaccardConfig())
+    have = {}
+    for t in set(texts):
+        grams = near_dedup.shingle_set(t)
+        for g in near_dedup.prefix(grams, frequent, counts, 80).tolist():
+            have.setdefault(g, set()).add(int(np.int64(np.uint64(near_dedup._name(grams)))))
+    want = Counter(frozenset(x) for x in have.values() if len(x) > 1)
+    got = {}
+    for r in met:
+        got.setdefault((r.key, r.n), set()).add(r.node)
+    assert {frozenset(x): n for (_, n), x in got.items()} == want and len(got) == len(want) < sum(want.values())
+
+
 def test_clashing_columns_and_odd_rows(spark):
     rows = [(1, "a b c", "x", "y"), (2, "A b  c", "p", None), (None, "a b c", "q", "z"), (None, None, "n", "n"), (7, "", "e", "e"), (7, "", "e", "e")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, row string, `c1` string").select("row", "text", "c1", "doc_id")
